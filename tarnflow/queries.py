@@ -1,0 +1,6 @@
+"""All registered queries of the library, by name, and the same results in DuckDB's SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
