@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tarnflow.llm.decontaminate import op9_contaminated
 from tarnflow.llm.html import op6_main_text
 from tarnflow.llm.jaccard import op7_jaccard_join
 from tarnflow.llm.langid import op8_language
@@ -9,5 +10,5 @@ from tarnflow.llm.pii import op1_pii
 from tarnflow.llm.substrings import op2_repeated_passages
 from tarnflow.llm.tokens import op3_token_counts, op4_packed_ids
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_repeated_passages, op3_token_counts, op4_packed_ids, op6_main_text, op7_jaccard_join, op8_language)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_repeated_passages, op3_token_counts, op4_packed_ids, op6_main_text, op7_jaccard_join, op8_language, op9_contaminated)}
 ORACLE_SQL: dict[str, str] = {}
