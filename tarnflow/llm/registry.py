@@ -7,9 +7,10 @@ from tarnflow.llm.html import op6_main_text
 from tarnflow.llm.jaccard import op7_jaccard_join
 from tarnflow.llm.langid import op8_language
 from tarnflow.llm.neighbours import op5_nearest
+from tarnflow.llm.pieces import op10_sentencepiece
 from tarnflow.llm.pii import op1_pii
 from tarnflow.llm.substrings import op2_repeated_passages
 from tarnflow.llm.tokens import op3_token_counts, op4_packed_ids
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_repeated_passages, op3_token_counts, op4_packed_ids, op5_nearest, op6_main_text, op7_jaccard_join, op8_language, op9_contaminated)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_repeated_passages, op3_token_counts, op4_packed_ids, op5_nearest, op6_main_text, op7_jaccard_join, op8_language, op9_contaminated, op10_sentencepiece)}
 ORACLE_SQL: dict[str, str] = {}
