@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tarnflow.llm.tables import table
 
@@ -138,10 +139,11 @@ def held_out(doc_id):
 
 def training_sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
     """At most TRAIN_PER_LANG labelled texts of each language, of TRAIN_BYTES at most, chosen by a hash of their id."""
-    from pyspark.sql import Window
-
     some = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.octet_length(text).between(1, TRAIN_BYTES) & F.col(text).rlike(r"\p{L}"))
     some = some.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), F.lit("train")).alias("h"))
+    # First within many parts of a language, then among what they leave, so that no task sorts a whole language.
+    parts = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "text")
+    some = some.withColumn("n", F.row_number().over(parts)).where(F.col("n") <= TRAIN_PER_LANG).drop("n")
     first = Window.partitionBy("lang").orderBy("h", "text")
     rows = some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= TRAIN_PER_LANG).collect()
     return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.n))]
