@@ -50,7 +50,7 @@ def write_adjacency(pairs: DataFrame, path: str) -> None:
 def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     """(user, item) of lines "user item item ..."; lines without items give nothing."""
     parts = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("p")).where(F.size("p") > 1)
-    return parts.select(F.get("p", F.lit(0)).cast("long").alias("user"), F.explode(F.slice("p", F.lit(2), F.size("p") - 1)).cast("long").alias("item"))
+    return parts.select(F.get("p", F.lit(0)).cast("long").alias("user"), F.explode(F.transform(F.slice("p", F.lit(2), F.size("p") - 1), lambda x: x.cast("long"))).alias("item"))
 
 
 def write_splits(df: DataFrame, path: str, by: str = "dset") -> None:
