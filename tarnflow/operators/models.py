@@ -7,7 +7,7 @@ from itertools import product
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler, VectorIndexer
+from pyspark.ml.feature import FeatureHasher, MinMaxScaler, OneHotEncoder, StringIndexer, VectorAssembler, VectorIndexer
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import FMRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
@@ -24,7 +24,9 @@ def features(categorical: list[str], numeric: list[str], one_hot: bool) -> list:
     index = StringIndexer(inputCols=categorical, outputCols=[f"{c}_i" for c in categorical], handleInvalid="keep", stringOrderType="alphabetAsc")
     if one_hot:
         hot = OneHotEncoder(inputCols=index.getOutputCols(), outputCols=[f"{c}_h" for c in categorical], dropLast=False, handleInvalid="keep")
-        return [index, hot, VectorAssembler(inputCols=[*hot.getOutputCols(), *numeric], outputCol="features", handleInvalid="keep")]
+        numbers = VectorAssembler(inputCols=numeric, outputCol="numbers", handleInvalid="keep")
+        scaled = MinMaxScaler(inputCol="numbers", outputCol="scaled")
+        return [index, hot, numbers, scaled, VectorAssembler(inputCols=[*hot.getOutputCols(), "scaled"], outputCol="features", handleInvalid="keep")]
     raw = VectorAssembler(inputCols=[*index.getOutputCols(), *numeric], outputCol="raw", handleInvalid="keep")
     return [index, raw, VectorIndexer(inputCol="raw", outputCol="features", maxCategories=64, handleInvalid="keep")]
 
