@@ -93,30 +93,37 @@ def _coded(vectors: DataFrame, codes: Codes) -> DataFrame:
 def _search(dealt: DataFrame, radius: int, k: int) -> DataFrame:
     """(q, node, score): of each task's buckets, the k best nodes of each query. In a bucket queries come first, then vectors in any number."""
 
-    def best_of(queries: list, vectors: list, held: dict) -> None:
+    def best_of(queries: list, vectors: list, held: dict, least_of: dict) -> None:
         qv, vv = np.array([x[2] for x in queries], np.float64), np.array([x[2] for x in vectors], np.float64)
         near = np.bitwise_count(np.array([x[1] for x in queries], np.int64).view(np.uint64)[:, None] ^ np.array([x[1] for x in vectors], np.int64).view(np.uint64)[None, :]) <= radius
         qn, vn = np.linalg.norm(qv, axis=1), np.linalg.norm(vv, axis=1)
         score = np.where(near, (qv @ vv.T) / qn[:, None] / vn[None, :], -9.0)
         few = min(k, len(vectors)) - 1
         least = -np.partition(-score, few, axis=1)[:, few]
-        for i, q in enumerate(queries):
-            at = np.flatnonzero((score[i] >= least[i] - SLACK) & near[i])
-            if len(at):
-                # Products of one pair at a time: equal pairs have equal scores wherever they are met.
-                exact = (vv[at] * qv[i]).sum(1) / (np.sqrt((vv[at] * vv[at]).sum(1)) * np.sqrt((qv[i] * qv[i]).sum()))
-                own = held.setdefault(q[0], {})
-                own.update({vectors[j][0]: float(s) for j, s in zip(at, exact, strict=True)})
-                if len(own) > 4 * k:
-                    held[q[0]] = dict(sorted(own.items(), key=lambda x: (-x[1], x[0]))[:k])
+        # Nothing below the k-th best that a query has already can be among its best.
+        least = np.maximum(least, [least_of.get(x[0], -9.0) for x in queries])
+        at, to = np.nonzero((score >= least[:, None] - SLACK) & near)
+        # Products of one pair at a time: equal pairs have equal scores wherever they are met.
+        exact = (vv[to] * qv[at]).sum(1) / (np.sqrt((vv[to] * vv[to]).sum(1)) * np.sqrt((qv[at] * qv[at]).sum(1)))
+        touched = set()
+        for i, j, s in zip(at.tolist(), to.tolist(), exact.tolist(), strict=True):
+            held.setdefault(queries[i][0], {})[vectors[j][0]] = s
+            touched.add(queries[i][0])
+        for q in touched:
+            if len(held[q]) > k:
+                held[q] = dict(sorted(held[q].items(), key=lambda x: (-x[1], x[0]))[:k])
+            if len(held[q]) == k:
+                least_of[q] = min(held[q].values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, dict[int, float]] = {}
+        least_of: dict[int, float] = {}
         now, queries, vectors = None, [], []
 
         def flushed() -> pa.RecordBatch:
             rows = [(q, n, s) for q, own in held.items() for n, s in sorted(own.items(), key=lambda x: (-x[1], x[0]))[:k]]
             held.clear()
+            least_of.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], ["q", "node", "score"])
 
         for batch in batches:
@@ -125,7 +132,7 @@ def _search(dealt: DataFrame, radius: int, k: int) -> DataFrame:
             for i, (part, value, salt, vector, id_, code) in enumerate(rows):
                 if (part, value, salt) != now:
                     if queries and vectors:
-                        best_of(queries, vectors, held)
+                        best_of(queries, vectors, held, least_of)
                     if len(held) > HELD_QUERIES:
                         yield flushed()
                     now, queries, vectors = (part, value, salt), [], []
@@ -133,12 +140,12 @@ def _search(dealt: DataFrame, radius: int, k: int) -> DataFrame:
                     if queries:
                         vectors.append((id_, code, v[i]))
                         if len(vectors) * len(queries) > 2_000_000:
-                            best_of(queries, vectors, held)
+                            best_of(queries, vectors, held, least_of)
                             vectors = []
                 else:
                     queries.append((id_, code, v[i]))
         if queries and vectors:
-            best_of(queries, vectors, held)
+            best_of(queries, vectors, held, least_of)
         yield flushed()
 
     return dealt.mapInArrow(run, "q long, node long, score double")
@@ -193,6 +200,9 @@ def nearest(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector:
     asked = _buckets(queries, "id").select("id", "code", "v", "part", F.explode(F.transform(near, lambda x: F.col("value").bitwiseXOR(x))).alias("value"))
 
     def ranked(found: DataFrame) -> DataFrame:
+        # Each task gives k nodes of a query; the best of all are chosen before their ids are looked up.
+        few = Window.partitionBy("q").orderBy(F.desc("score"), "node")
+        found = found.dropDuplicates(["q", "node"]).withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1)
         best = found.join(nodes.select("node", "ids"), "node").select("q", F.explode("ids").alias("vec_id"), "score").where("vec_id <> q").dropDuplicates(["q", "vec_id"])
         order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
         return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
