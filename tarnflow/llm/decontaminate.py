@@ -1,8 +1,8 @@
 """Documents that hold passages of benchmark items, in built-in SQL functions only.
 
 Spaced seeds: a window of SPAN tokens is hashed under fixed masks, each of which ignores some places, so
-a seed still matches where a replaced word falls on an ignored place. Items are hashed at each place,
-documents at every STRIDE-th one; equal hashes join. Around a hit the item's tokens are compared with
+a seed still matches where a replaced word falls on an ignored place. Items and documents are hashed at
+each place; equal hashes join. Around a hit the item's tokens are compared with
 the document's at the same offset: the best stretch, at +1 for a kept and -2 for a replaced token,
 counts as contamination if enough of its tokens are the item's.
 """
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from tarnflow.llm.shared import checkpointed
 from tarnflow.llm.tables import table
 
-#: Any overlap of SPAN + STRIDE - 1 tokens holds a hashed window; all places but a window's ends are ignored by one mask.
-SPAN, STRIDE = 8, 3
+#: Any overlap of SPAN tokens is a hashed window; all places but a window's ends are ignored by one mask.
+SPAN = 8
 MASKS = ("11101011", "11010111", "10111101")
 #: Tokens of an item that an overlap needs, or the whole item if it is shorter; the share of them within the overlap.
 MIN_TOKENS, MIN_SHARE = 13, 0.8
@@ -33,7 +33,7 @@ def hashed(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def seeds(words: Column, stride: int) -> Column:
+def seeds(words: Column) -> Column:
     """(at, h0, h1, ...) of each window of an array of word hashes."""
     n = F.size(words)
 
@@ -41,12 +41,12 @@ def seeds(words: Column, stride: int) -> Column:
         by_mask = [F.xxhash64(F.lit(m), *[F.get(words, i + o) for o, c in enumerate(mask) if c == "1"]).alias(f"h{m}") for m, mask in enumerate(MASKS)]
         return F.struct(i.alias("at"), *by_mask)
 
-    return F.when(n >= SPAN, F.transform(F.sequence(F.lit(0), n - SPAN, F.lit(stride)), of))
+    return F.when(n >= SPAN, F.transform(F.sequence(F.lit(0), n - SPAN), of))
 
 
-def _exploded(df: DataFrame, key: str, stride: int) -> DataFrame:
+def _exploded(df: DataFrame, key: str) -> DataFrame:
     """(key, at, h): a row for each window and mask."""
-    rows = df.select(key, F.inline(seeds(F.col("w"), stride)))
+    rows = df.select(key, F.inline(seeds(F.col("w"))))
     return rows.select(key, "at", F.explode(F.array(*[F.col(f"h{m}") for m in range(len(MASKS))])).alias("h"))
 
 
@@ -61,11 +61,11 @@ def best_stretch(same: Column) -> Column:
     start = F.struct(*[F.lit(0).alias(x) for x in ("i", "now", "since", "kept", "best", "from", "to", "most")])
 
     def step(a: Column, x: Column) -> Column:
-        fresh = a["now"] <= 0
+        fresh = a["now"] < 0
         score = F.when(fresh, F.lit(0)).otherwise(a["now"]) + F.when(x, 1).otherwise(-2)
         since = F.when(fresh, a["i"]).otherwise(a["since"])
         kept = F.when(fresh, F.lit(0)).otherwise(a["kept"]) + F.when(x, 1).otherwise(0)
-        better = score > a["best"]
+        better = (score > a["best"]) | ((score == a["best"]) & (kept > a["most"]))
         pick = lambda new, old: F.when(better, new).otherwise(old)
         return F.struct(
             (a["i"] + 1).alias("i"), score.alias("now"), since.alias("since"), kept.alias("kept"),
@@ -85,10 +85,10 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     bench = items.select(F.col(item_id).alias("item_id"), F.filter(tokens(F.col(item_text)), lambda w: w != "").alias("w"))
     bench = bench.where(F.size("w") >= SPAN).select("item_id", hashed(F.col("w")).alias("w"))
     bench = _small(bench.distinct())
-    marks = _small(_exploded(bench, "item_id", 1).select("h", "item_id", F.col("at").alias("place")).distinct())
+    marks = _small(_exploded(bench, "item_id").select("h", "item_id", F.col("at").alias("place")).distinct())
 
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    windows = _exploded(read.select("doc_id", hashed(tokens(F.col("text"))).alias("w")), "doc_id", STRIDE)
+    windows = _exploded(read.select("doc_id", hashed(tokens(F.col("text"))).alias("w")), "doc_id")
     hits = windows.join(marks, "h").select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")).distinct()
     hits = _small(hits)
 
