@@ -29,9 +29,9 @@ from tarnflow.llm.tokens import BLANK, MODEL
 #: Longer words (in code points, all bits of a mask) go to the library itself.
 LONGEST = 60
 #: Words in the dictionary of frequent ones, each of DICTIONARY_CHARS at most; every so manieth document is read for it.
-DICTIONARY_WORDS, DICTIONARY_CHARS, DICTIONARY_EVERY = 1 << 19, 24, 16
+DICTIONARY_WORDS, DICTIONARY_CHARS, DICTIONARY_EVERY = 1 << 18, 24, 16
 #: Bytes of text in a block.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 6_000_000
 #: A piece table of more rows isn't broadcast.
 MOST_PIECES = 1 << 20
 #: What an unknown code point scores below the least piece.
@@ -71,53 +71,50 @@ def substrings(words: DataFrame, longest: int) -> DataFrame:
     return to.select("w", "n", "a", "b", F.substring(F.col("w"), F.col("a") + 1, F.col("b") - F.col("a")).alias("piece"))
 
 
+def _bit(i: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+
+
+def _between(e: Column) -> Column:
+    """Bits of the places inside an edge."""
+    return _bit(e["b"]) - _bit(F.lit(1) - e["back"])
+
+
 def merged(edges: Column, n: Column) -> Column:
-    """Merge fold: ids of the edges between the symbols' last ends. edges: (score, -a, b, id), ends: bits of a mask."""
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
+    """Merge fold: the ends of symbols that are left, as bits. edges: (score, back = -a, b, ends = bits of a and b, inner) of more than one code point."""
 
     def step(mask: Column, _: Column) -> Column:
-        def fits(e: Column) -> Column:
-            inner = mask.bitwiseAND(bit(e["b"]) - bit(F.lit(1) - e["back"]))
-            # Both ends are ends of symbols, and one end lies between.
-            return (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(inner) == 1)
-
-        best = F.array_max(F.filter(edges, fits))
-        between = mask.bitwiseAND(bit(best["b"]) - bit(F.lit(1) - best["back"]))
-        return F.when(best.isNull(), mask).otherwise(mask.bitwiseXOR(F.coalesce(between, F.lit(0).cast("long"))))
+        # Both ends are ends of symbols, and one end lies between: the edge spans two neighbours.
+        best = F.array_max(F.filter(edges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1)))
+        return mask.bitwiseAND(F.bitwise_not(F.coalesce(best["inner"], F.lit(0).cast("long"))))
 
-    mask = F.aggregate(F.sequence(F.lit(1), n), bit(n + 1) - 1, step)
-    return mask
+    return F.aggregate(F.sequence(F.lit(1), n - 1), _bit(n + 1) - 1, step)
 
 
 def lattice(words: DataFrame, pieces: DataFrame, model: Model) -> DataFrame:
     """(w, ids) for distinct words of 1 to LONGEST code points. words stays partitioned as it is."""
     table_ = F.broadcast(pieces) if len(model.pieces) <= MOST_PIECES else pieces
     found = substrings(words, model.longest).join(table_, "piece", "left").where("id is not null or b = a + 1")
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.col(c))
-    edge = F.struct("score", (-F.col("a")).alias("back"), "b", bit("a").bitwiseOR(bit("b")).alias("ends"), "id", F.when(F.col("id").isNull(), F.col("piece")).alias("raw"))
+    place = {"a": F.col("a"), "b": F.col("b"), "back": -F.col("a")}
+    inner = _between(place)
+    edge = F.struct("score", place["back"].alias("back"), "b", _bit(place["a"]).bitwiseOR(_bit(place["b"])).alias("ends"), inner.alias("inner"), "id", F.when(F.col("id").isNull(), F.col("piece")).alias("raw"))
     # What has no piece is one code point, and is never merged.
-    grouped = found.groupBy("w").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
+    longer = F.struct("score", place["back"].alias("back"), "b", _bit(place["a"]).bitwiseOR(_bit(place["b"])).alias("ends"), inner.alias("inner"))
+    grouped = found.groupBy("w").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"), F.collect_list(F.when(F.col("id").isNotNull() & (F.col("b") > F.col("a") + 1), longer)).alias("wide"))
     if model.merges:
-        wide = F.filter("edges", lambda e: e["id"].isNotNull() & (e["b"] + e["back"] > 1))
-        grouped = grouped.withColumn("wide", wide)
-        solved = grouped.withColumn("mask", merged(F.col("wide"), F.col("n")))
-        on = lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(F.col("mask").bitwiseAND(_between(e))) == 0)
-        path = F.filter("edges", on)
+        whole = F.when(F.col("n") > 1, merged(F.col("wide"), F.col("n"))).otherwise(F.lit(3).cast("long"))
+        solved = grouped.withColumn("mask", whole)
+        path = F.filter("edges", lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inner"]) == 0))
     else:
         solved = grouped.withColumn("best", _viterbi(F.col("edges"), F.col("n"), model.least - UNKNOWN_PENALTY))
         path = F.col("best")
-    ordered = F.array_sort(F.transform(path, lambda e: F.struct((-e["back"]).alias("a"), e["id"].alias("id"), e["raw"].alias("raw"))))
+    ordered = F.sort_array(F.transform(path, lambda e: F.struct((-e["back"]).alias("a"), e["id"].alias("id"), e["raw"].alias("raw"))))
     return solved.select("w", F.transform(ordered, lambda e: F.struct(e["id"], e["raw"])).alias("path"))
 
 
-def _between(e: Column) -> Column:
-    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
-    return bit(e["b"]) - bit(F.lit(1) - e["back"])
-
-
 def _viterbi(edges: Column, n: Column, unknown: float) -> Column:
     """Best path: for each end the best edge into it; the longest of equal ones."""
-    start = F.array(F.struct(F.lit(0.0).alias("total"), F.array().cast("array<struct<score:double,back:int,b:int,ends:bigint,id:int,raw:string>>").alias("path")))
+    start = F.array(F.struct(F.lit(0.0).alias("total"), F.array().cast("array<struct<score:double,back:int,b:int,ends:bigint,inner:bigint,id:int,raw:string>>").alias("path")))
 
     def step(best: Column, end: Column) -> Column:
         into = F.transform(
@@ -141,6 +138,13 @@ class Encoder:
     def words(self, text: str | None) -> list[str]:
         return self.word.findall(BLANK + text.replace(" ", BLANK)) if text else []
 
+    @staticmethod
+    def chunks(text: str | None) -> list[str]:
+        """Parts of a text at its single blanks; each is a text whose words are looked for once, however often it comes. A text with runs of blanks is one part."""
+        if not text:
+            return []
+        return [text] if "  " in text or BLANK in text or text[0] == " " or text[-1] == " " else text.split(" ")
+
     def outside(self, word: str) -> bytes | None:
         """Ids of what the lattice doesn't take: line breaks, runs of blanks and over-long words."""
         if word != "\n" and len(word) <= LONGEST:
@@ -196,29 +200,34 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
         encoder, have = Encoder(word, path, lead), at_hand.value
         seen: dict[int, set[str]] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
+            for at in range(0, batch.num_rows, 1024):
                 new: dict[int, set[str]] = {}
-                for b, t in zip(batch.column("block").slice(at, 512).to_pylist(), batch.column("text").slice(at, 512).to_pylist(), strict=True):
-                    new.setdefault(b, set()).update(encoder.words(t))
-                for b, words in new.items():
+                for b, t in zip(batch.column("block").slice(at, 1024).to_pylist(), batch.column("text").slice(at, 1024).to_pylist(), strict=True):
+                    new.setdefault(b, set()).update(encoder.chunks(t))
+                for b, chunks in new.items():
+                    words = {w for c in chunks for w in encoder.words(c)}
                     out = [w for w in words - seen.setdefault(b, set()) if w not in have and encoder.outside(w) is None]
                     seen[b].update(out)
                     yield pa.RecordBatch.from_arrays([pa.array([b] * len(out), pa.int32()), pa.array(out, pa.string())], ["block", "w"])
 
     need = dealt.mapInArrow(asked, "block int, w string").repartition("w")
-    rare = _with_ids(lattice(need.select("w").distinct(), pieces, spec), spec)
+    # The least block keeps both uses of need the same for Spark, so that words are asked for once.
+    rare = _with_ids(lattice(need.groupBy("w").agg(F.min("block").alias("block")).where("block >= 0").select("w"), pieces, spec), spec)
     answers = need.join(rare, "w").select("block", "w", "ids")
 
     def assembled(texts: pa.Table, words: pa.Table) -> pa.Table:
         encoder, have = Encoder(word, path, lead), at_hand.value
         own = {w: np.array(i, "<i4").tobytes() for w, i in zip(words.column("w").to_pylist(), words.column("ids").to_pylist(), strict=True)}
+        known: dict[str, bytes] = {}
+
+        def of(chunk: str) -> bytes:
+            parts = [have.get(w) or own.get(w) or encoder.outside(w) for w in encoder.words(chunk)]
+            known[chunk] = out = b"".join(parts)
+            return out
+
         ends, found = [0], []
-        for chunk in texts.column("text").to_pylist():
-            parts = []
-            for w in encoder.words(chunk):
-                ids = have.get(w) or own.get(w)
-                parts.append(ids if ids is not None else encoder.outside(w))
-            found.append(b"".join(parts))
+        for text in texts.column("text"):
+            found.append(b"".join([known.get(c) or of(c) for c in encoder.chunks(text.as_py())]))
             ends.append(ends[-1] + len(found[-1]) // 4)
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
         return pa.Table.from_arrays([texts.column("doc_id"), ids], ["doc_id", "ids"])
@@ -227,27 +236,12 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
 
 
 def decode(df: DataFrame, ids: str = "ids", out: str = "text", model: str = MODEL) -> DataFrame:
-    """df with the text of its ids: pieces joined, bytes put together, the leading blank taken off. Null ids are a null text."""
+    """df with the text of its ids: the pieces' bytes put together, the leading blank taken off. Null ids are a null text; unknown ids are nothing."""
     spec = Model(model)
-    plain = {i: p.replace(BLANK, " ") for p, i, _ in spec.pieces}
-    bytes_ = {i: b for b, i in spec.bytes.items()}
-    top = max([*plain, *bytes_], default=-1) + 1
-    names = [plain.get(i, "") for i in range(top)]
-    rest = [c for c in df.columns if c != out]
-    schema = df.select(*rest, F.lit("").alias(out)).schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = [bytes([bytes_[i]]) if i in bytes_ else n.encode() for i, n in enumerate(names)]
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = []
-                for x in part.column(ids).to_pylist():
-                    t = None if x is None else b"".join(map(raw.__getitem__, x)).decode("utf-8", "replace")
-                    texts.append(t[1:] if t and t[0] == " " else t)
-                yield pa.RecordBatch.from_arrays([*map(part.column, rest), pa.array(texts, pa.string())], [*rest, out])
-
-    return df.select(*rest).mapInArrow(run, schema)
+    raw = {i: p.replace(BLANK, " ").encode().hex() for p, i, _ in spec.pieces} | {i: f"{b:02x}" for b, i in spec.bytes.items()}
+    table_ = F.split(F.lit(",".join(raw.get(i, "") for i in range(max(raw, default=-1) + 1))), ",")
+    whole = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table_, i)), "")), "UTF-8")
+    return df.withColumn(out, F.regexp_replace(whole, r"\A ", ""))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
