@@ -202,27 +202,43 @@ def _windows_of(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(found, "doc long, at long, first long, second long")
 
 
-def repeated(docs: DataFrame, texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc, run) of each run of repeated windows. docs and texts: (doc, text), texts dealt by doc."""
-    rows = _runs_of(docs, window, anchor).repartition("anchor")
+def _judged(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Passes 1 and 2: (doc, run, anchor) of runs that are repeated whole (anchor null) or need a closer look."""
     by_anchor, by_whole = Window.partitionBy("anchor"), Window.partitionBy("anchor", "whole")
-    rows = rows.withColumn("earliest", F.min("doc").over(by_whole))
+    rows = _runs_of(docs, window, anchor).repartition("anchor").withColumn("earliest", F.min("doc").over(by_whole))
     rows = rows.withColumn("least", F.min("doc").over(by_anchor)).withColumn("most", F.max("doc").over(by_anchor))
     rows = rows.withColumn("mixed", F.min("whole").over(by_anchor) != F.max("whole").over(by_anchor))
     whole = (F.col("run").bitwiseAND(1 << 12) != 0) | (F.col("earliest") < F.col("doc"))
-    rows = rows.where(whole | ((F.col("least") < F.col("most")) & F.col("mixed"))).select("doc", "run", F.when(~whole, F.col("anchor")).alias("anchor"))
-    judged = checkpointed(rows)
-    release(docs.sparkSession)
+    return rows.where(whole | ((F.col("least") < F.col("most")) & F.col("mixed"))).select("doc", "run", F.when(~whole, F.col("anchor")).alias("anchor"))
 
-    sides = _sides_of(_texts_with(texts, judged.where("anchor is not null")), window, anchor).repartition("first", "second")
+
+def _near(texts: DataFrame, judged: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Pass 3: (doc, run, anchor) of runs that share a side with another document."""
     same = Window.partitionBy("first", "second")
+    sides = _sides_of(_texts_with(texts, judged.where("anchor is not null")), window, anchor).repartition("first", "second")
     near = sides.withColumn("least", F.min("doc").over(same)).withColumn("most", F.max("doc").over(same)).where("sure or least < most")
-    near = checkpointed(near.select("doc", "run", "anchor").distinct())
-    release(docs.sparkSession)
+    return near.select("doc", "run", "anchor").distinct()
 
+
+def _strings(texts: DataFrame, near: DataFrame, window: int) -> DataFrame:
+    """Pass 4: (doc, run) of each window that an earlier document holds."""
     strings = _windows_of(_texts_with(texts, near), window).repartition("first", "second")
-    strings = strings.withColumn("earliest", F.min("doc").over(same)).where("at % 2 = 1 or earliest < doc")
-    return judged.where("anchor is null").select("doc", "run").unionByName(strings.select("doc", F.shiftleft(F.shiftright("at", 1), 13).alias("run")))
+    strings = strings.withColumn("earliest", F.min("doc").over(Window.partitionBy("first", "second"))).where("at % 2 = 1 or earliest < doc")
+    return strings.select("doc", F.shiftleft(F.shiftright("at", 1), 13).alias("run"))
+
+
+def repeated(docs: DataFrame, texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(doc, run) of each run of repeated windows. docs and texts: (doc, text), texts dealt by doc.
+
+    Each pass is written before the next begins, and no plan of it is kept, so its shuffle files can go.
+    """
+    judged = checkpointed(_judged(docs, window, anchor))
+    release(docs.sparkSession)
+    near = checkpointed(_near(texts, judged, window, anchor))
+    release(docs.sparkSession)
+    strings = checkpointed(_strings(texts, near, window))
+    release(docs.sparkSession)
+    return judged.where("anchor is null").select("doc", "run").unionByName(strings)
 
 
 def _cut(raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, int, int]:
