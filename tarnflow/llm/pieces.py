@@ -29,9 +29,9 @@ from tarnflow.llm.tokens import BLANK, MODEL
 #: Longer words (in code points, all bits of a mask) go to the library itself.
 LONGEST = 60
 #: Words in the dictionary of frequent ones, each of DICTIONARY_CHARS at most; every so manieth document is read for it.
-DICTIONARY_WORDS, DICTIONARY_CHARS, DICTIONARY_EVERY = 1 << 18, 24, 16
+DICTIONARY_WORDS, DICTIONARY_CHARS, DICTIONARY_EVERY = 1 << 17, 24, 16
 #: Bytes of text in a block.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 4_000_000
 #: A piece table of more rows isn't broadcast.
 MOST_PIECES = 1 << 20
 #: What an unknown code point scores below the least piece.
