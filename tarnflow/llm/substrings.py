@@ -126,6 +126,7 @@ def _runs_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             doc, run, gram, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
             done, _ = settled(doc, gram, whole)
             gram = np.where(done, mix(gram + doc.astype(np.uint64) * SPREAD + run.astype(np.uint64)), gram)
+            whole = np.where(done, np.uint64(0), whole)  # a settled row needs no digits, and zeros compress
             run += done.astype(np.int64) << 12
             for at in range(0, len(doc), 200_000):
                 cut = slice(at, at + 200_000)
@@ -197,6 +198,7 @@ def _windows_of(texts: DataFrame, window: int) -> DataFrame:
             doc, at, first, second = (np.concatenate(x) for x in zip(*parts, strict=True))
             later, _ = settled(doc, first, second)
             first = np.where(later, mix(first + doc.astype(np.uint64) * SPREAD + at.astype(np.uint64)), first)
+            second = np.where(later, np.uint64(0), second)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, at * 2 + later, first.view(np.int64), second.view(np.int64))], ["doc", "at", "first", "second"])
 
     return texts.mapInArrow(found, "doc long, at long, first long, second long")
