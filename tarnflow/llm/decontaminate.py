@@ -1,10 +1,10 @@
 """Documents that hold passages of benchmark items, in built-in SQL functions only.
 
-Spaced seeds: a window of SPAN tokens is hashed under fixed masks, each of which ignores some places, so
+Spaced seeds: windows of tokens are hashed under fixed masks, each of which ignores some places, so
 a seed still matches where a replaced word falls on an ignored place. Items and documents are hashed at
 each place; equal hashes join. Around a hit the item's tokens are compared with
-the document's at the same offset: the best stretch, at +1 for a kept and -2 for a replaced token,
-counts as contamination if enough of its tokens are the item's.
+the document's at the same offset. Any stretch of which enough tokens are the item's counts as contamination;
+the best-scored of them, at +1 for a kept and -2 for a replaced token, is reported.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from tarnflow.llm.shared import checkpointed
 from tarnflow.llm.tables import table
 
-#: Any overlap of SPAN tokens is a hashed window; all places but a window's ends are ignored by one mask.
+#: Tokens of the shortest item, and of the longest window. However the replaced tokens lie, a stretch of MIN_TOKENS kept ones and
+#: MIN_SHARE holds a window that one of the masks accepts; a test walks through all stretches.
 SPAN = 8
-MASKS = ("11101011", "11010111", "10111101")
+MASKS = ("1111101", "11001111", "10110111")
 #: Tokens of an item that an overlap needs, or the whole item if it is shorter; the share of them within the overlap.
 MIN_TOKENS, MIN_SHARE = 13, 0.8
 #: Rows up to which a side is broadcast: at most 32 bytes each for seeds and candidates.
@@ -34,20 +35,21 @@ def hashed(words: Column) -> Column:
 
 
 def seeds(words: Column) -> Column:
-    """(at, h0, h1, ...) of each window of an array of word hashes."""
-    n = F.size(words)
+    """(at, h0, h1, ...) of each window of an array of word hashes; null under a mask that ends beyond it."""
+    n, least = F.size(words), min(map(len, MASKS))
 
     def of(i: Column) -> Column:
-        by_mask = [F.xxhash64(F.lit(m), *[F.get(words, i + o) for o, c in enumerate(mask) if c == "1"]).alias(f"h{m}") for m, mask in enumerate(MASKS)]
-        return F.struct(i.alias("at"), *by_mask)
+        by_mask = [F.xxhash64(F.lit(m), *[F.get(words, i + o) for o, c in enumerate(mask) if c == "1"]) for m, mask in enumerate(MASKS)]
+        whole = [h if len(mask) == least else F.when(i <= n - len(mask), h) for h, mask in zip(by_mask, MASKS)]
+        return F.struct(i.alias("at"), *[h.alias(f"h{m}") for m, h in enumerate(whole)])
 
-    return F.when(n >= SPAN, F.transform(F.sequence(F.lit(0), n - SPAN), of))
+    return F.when(n >= least, F.transform(F.sequence(F.lit(0), n - least), of))
 
 
 def _exploded(df: DataFrame, key: str) -> DataFrame:
     """(key, at, h): a row for each window and mask."""
     rows = df.select(key, F.inline(seeds(F.col("w"))))
-    return rows.select(key, "at", F.explode(F.array(*[F.col(f"h{m}") for m in range(len(MASKS))])).alias("h"))
+    return rows.select(key, "at", F.explode(F.array(*[F.col(f"h{m}") for m in range(len(MASKS))])).alias("h")).where("h is not null")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -75,9 +77,32 @@ def best_stretch(same: Column) -> Column:
     return F.aggregate(same, start, step)
 
 
+def enough(kept: Column, length: Column, n: Column) -> Column:
+    """Whether a stretch is an overlap of an item of n tokens."""
+    return (kept >= F.least(F.lit(MIN_TOKENS), n)) & (kept >= MIN_SHARE * length)
+
+
+def best_overlap(same: Column) -> Column:
+    """(best, most, before, to) of the best-scored stretch that is enough, of all stretches from one kept token to another; null if none is."""
+    n = F.size(same)
+    places = F.filter(F.transform(same, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    least = F.least(F.lit(MIN_TOKENS), n)
+
+    def ends(first: Column, i: Column) -> Column:
+        def stretch(last: Column, j: Column) -> Column:
+            kept, length = j + least, last - first + 1
+            return F.when(enough(kept, length, n), F.struct((3 * kept - 2 * length).alias("best"), kept.alias("most"), (-first).alias("before"), (last + 1).alias("to")))
+
+        return F.array_max(F.transform(F.slice(places, i + least, F.greatest(F.size(places) - i - least + 1, F.lit(0))), stretch))
+
+    return F.array_max(F.transform(places, ends))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, token_start, token_end, n_kept, n_item_tokens): the best overlap of each document and item that share enough.
 
+    An overlap is any stretch at one offset that is enough; of an offset's overlaps the best-scored counts, of all offsets' the one with the most tokens kept.
+
     Documents without an overlap have no row. Null and empty texts overlap nothing; nor do items of fewer than
     SPAN tokens. Repeated documents and items give one row together. Null ids are ids like others. Either table
     may be empty.
@@ -96,10 +121,14 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     pairs = pairs.select("doc_id", "item_id", "shift", hashed(tokens(F.col("text"))).alias("d"))
     pairs = pairs.join(bench.select(F.col("item_id").alias("bench_id"), "w"), F.col("item_id").eqNullSafe(F.col("bench_id"))).drop("bench_id")
     same = F.transform("w", lambda x, i: F.coalesce(F.get("d", F.when(i + F.col("shift") >= 0, i + F.col("shift"))) == x, F.lit(False)))
-    found = pairs.select("doc_id", "item_id", "shift", F.size("w").alias("n_item_tokens"), best_stretch(same).alias("s"))
-    enough = (F.col("s.most") >= F.least(F.lit(MIN_TOKENS), F.col("n_item_tokens"))) & (F.col("s.most") >= MIN_SHARE * (F.col("s.to") - F.col("s.from")))
-    found = found.where(enough).select(
-        "doc_id", "item_id", F.struct(F.col("s.most").alias("n_kept"), (-(F.col("s.from") + F.col("shift"))).alias("before"), (F.col("s.to") + F.col("shift")).alias("token_end"), "n_item_tokens").alias("o")
+    pairs = pairs.select("doc_id", "item_id", "shift", F.size("w").alias("n_item_tokens"), same.alias("same"))
+    found = pairs.select("*", best_stretch(F.col("same")).alias("s"))
+    passes = enough(F.col("s.most"), F.col("s.to") - F.col("s.from"), F.col("n_item_tokens"))
+    first = F.struct(F.col("s.best").alias("best"), F.col("s.most").alias("most"), (-F.col("s.from")).alias("before"), F.col("s.to").alias("to"))
+    # Where the best-scored stretch of all is too thin, a shorter one may still be enough.
+    found = found.select("doc_id", "item_id", "shift", "n_item_tokens", F.when(passes, first).otherwise(best_overlap(F.col("same"))).alias("s"))
+    found = found.where("s is not null").select(
+        "doc_id", "item_id", F.struct(F.col("s.most").alias("n_kept"), (F.col("s.before") - F.col("shift")).alias("before"), (F.col("s.to") + F.col("shift")).alias("token_end"), "n_item_tokens").alias("o")
     )
     best = found.groupBy("doc_id", "item_id").agg(F.max("o").alias("o"))
     return best.select("doc_id", "item_id", (-F.col("o.before")).alias("token_start"), "o.token_end", "o.n_kept", "o.n_item_tokens")

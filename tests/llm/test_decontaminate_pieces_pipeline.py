@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarnflow.llm import pieces as P
-from tarnflow.llm.decontaminate import MIN_SHARE, MIN_TOKENS, contaminated
+from tarnflow.llm.decontaminate import MASKS, MIN_SHARE, MIN_TOKENS, contaminated
 
 # Decontamination.
 
@@ -63,6 +63,69 @@ def test_decontamination_edge_cases(spark):
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+def brute_enough(doc, item):
+    """Tokens kept in the best-scored stretch that is enough, at the offset where that keeps most; 0 if none is."""
+    most = 0
+    for shift in range(-len(item), len(doc)):
+        same = [0 <= i + shift < len(doc) and doc[i + shift] == item[i] for i in range(len(item))]
+        best = (0, 0)
+        for a in range(len(item)) if sum(same) >= MIN_TOKENS else ():
+            score = kept = 0
+            for b in range(a, len(item)):
+                score += 1 if same[b] else -2
+                kept += same[b]
+                if kept >= MIN_TOKENS and kept >= MIN_SHARE * (b - a + 1):
+                    best = max(best, (score, kept))
+        most = max(most, best[1])
+    return most
+
+
+def test_long_items_equal_brute_force_over_all_stretches(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(2000)]
+    draw = lambda n: [rng.choice(words) for _ in range(n)]
+    items = [(i, draw(n)) for i, n in enumerate([50, 51, 80, 120, 200, 300, 34])]
+    patterns = [[1] * 13 + [0] * 6 + [1] * 13 + [0] * 6 + [1] * 13, [1] * 13 + [0, 1, 1] * 7, [1] * 3 + [0] + [1] * 5 + [0] + [1] * 5]
+    docs = []
+    for i in range(70):
+        item = items[i % 7][1]
+        keep = patterns[i % 3] if i < 21 else [int(rng.random() < rng.choice([0.6, 0.7, 0.8, 0.9])) for _ in range(rng.randint(13, 60))]
+        at = rng.randint(0, max(0, len(item) - len(keep)))
+        part = [w if k else rng.choice(words) for w, k in zip(item[at:], keep)]
+        docs.append((i, draw(rng.randint(0, 20)) + part + draw(rng.randint(0, 20))))
+    got = {(r.doc_id, r.item_id): r.n_kept for r in contaminated(
+        spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    ).collect()}
+    want = {(i, j): n for i, d in docs for j, w in items if (n := brute_enough(d, w))}
+    assert got == want and len(want) >= 25
+
+
+def test_one_run_counts_beside_others(spark):
+    item = [f"i{n}" for n in range(51)]
+    three = [w if n % 19 < 13 else f"new{n}" for n, w in enumerate(item)]
+    groups = [w if n < 13 or (n - 13) % 3 else f"new{n}" for n, w in enumerate(item[:34])]
+    docs = spark.createDataFrame([(1, " ".join(three)), (2, " ".join(groups)), (3, " ".join(three[:13]))], "doc_id long, text string")
+    rows = contaminated(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id for r in rows} == {1, 2, 3} and all(r.n_kept >= MIN_SHARE * (r.token_end - r.token_start) for r in rows)
+
+
+def test_no_enough_stretch_escapes_the_masks():
+    """Walks all stretches of up to 300 tokens without an accepted window: by the last 7 tokens, the most kept for each number of replaced."""
+    masks = [[len(m) - 1 - i for i, c in enumerate(m) if c == "1"] for m in MASKS]
+    states = {0: {0: 0}}
+    for _ in range(300):
+        after = {}
+        for state, most in states.items():
+            for kept in (0, 1):
+                now = (state << 1 | kept) & 255
+                if not any(all(now >> i & 1 for i in m) for m in masks):
+                    by = after.setdefault(now & 127, {})
+                    for replaced, n in most.items():
+                        by[replaced + 1 - kept] = max(by.get(replaced + 1 - kept, 0), n + kept)
+        states = after
+        assert not any(n >= MIN_TOKENS and n >= MIN_SHARE * (n + r) for most in states.values() for r, n in most.items())
+
+
 # Pieces.
 
 TEXTS = ["", None, " ", "  ", "a  b", "a \n\n b\n", " \n ", "\n", "<s> </s><0x0A>", "▁▁x▁", "é̀ 　x\t\r\n", "x" * 3000, "日本語 テスト🎉", "🎉" * 30, "Hello,world.It's (fine)... representations\nof words"]
