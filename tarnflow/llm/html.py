@@ -4,7 +4,8 @@ Each DOM node gets the characters per tag below it, lowered where links hold the
 adds up its children's densities. The subtree with the largest sum is the article's body. The least
 density on the way from there up to <body> is the page's threshold: siblings along that way that reach it
 (a headline beside the body) belong to the article too. What a page's author marks as something else -
-menus, headers, footers, sidebars, notices, adverts, forms, comments - is left out before.
+menus, headers, footers, sidebars, notices, adverts, forms, comments - is left out before, unless it
+is or holds an article, a main part, a headline or most of the text.
 """
 
 from __future__ import annotations
@@ -49,38 +50,50 @@ MARKS = frozenset(
     "newsletter signup login popup modal overlay paywall disclaimer skip search searchform complementary contentinfo dialog form".split()
 )
 COMMENTS = frozenset("comment comments commentlist reply replies".split())
+#: Articles below these are not the page's own.
+OTHERS = COMMENTS | frozenset("related recommended recommendations".split())
+#: Marks that also name parts of a text: they count as whole names only, and not within an article.
+AMBIGUOUS = frozenset("notice notices alert discussion disclaimer consent gdpr form search skip rail promotion banner dialog".split())
+#: Names that tell a state of an element or what else the page has.
+STATE = re.compile(r"(?:has|have|no|not|non|with|without|is|hide|show|enable|disable|supports|allow|can)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled|active|inactive|visible|on|off|true|false)")
 WHOLE = frozenset("html body main".split())
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total", "marks", "within")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent = tag, parent
         self.inside: list[Node | str] = []
+        self.marks: frozenset[str] = frozenset()
+        self.within: bool = tag in ("article", "main") or parent is not None and parent.within
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def marked(attributes: str, marks: frozenset[str]) -> bool:
-    """Whether class, id or role hold one of the marks, or an element is hidden."""
-    if "=" not in attributes and "hidden" not in attributes:
-        return False
-    if HIDDEN.search(re.sub(r"""(class|id)\s*=\s*("[^"]*"|'[^']*')""", "", attributes)):
-        return True
-    for _, a, b, c in ATTRIBUTE.findall(attributes):
-        if not marks.isdisjoint(re.split(r"[^a-z]+", (a or b or c).lower())):
-            return True
-    return False
+def marks_of(attributes: str, marks: frozenset[str], within: bool) -> frozenset[str] | None:
+    """Those of the marks that class, id and role hold; None if the element is hidden. Within an article ambiguous ones don't count."""
+    if "=" not in attributes and "hidden" not in attributes.lower():
+        return frozenset()
+    found = set()
+    for name, a, b, c in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), (a or b or c).lower()
+        if name == "hidden" or name == "aria-hidden" and value.strip() == "true" or name == "style" and HIDDEN.search(value):
+            return None
+        if name in ("class", "id", "role"):
+            for x in value.split():
+                if not STATE.fullmatch(x):
+                    found.update(w for w in re.split(r"[^a-z]+", x) if w in marks and (w not in AMBIGUOUS or w == x and not within))
+    return frozenset(found)
 
 
 def tree(page: str) -> Node:
-    """The page's elements without those that are dropped or marked. Text pieces stand decoded between them."""
+    """The page's elements without those that are dropped or hidden, each with its marks. Text pieces stand decoded between them."""
     root = at = Node("#root", None)
     skipped: list[str] = []  # the open elements from one that is left out
     pos, end = 0, len(page)
@@ -141,11 +154,13 @@ def tree(page: str) -> Node:
                 up = up.parent
             if up.tag == "p":
                 at = up.parent
-        if name in DROPPED or name not in WHOLE and marked(attributes, COMMENTS if name == "article" else MARKS) or name == "header" and not _within_article(at):
+        marks = frozenset() if name in WHOLE else marks_of(attributes, COMMENTS if name == "article" else MARKS, at.within)
+        if name in DROPPED or marks is None or name == "header" and not at.within:
             if name not in ("head",):
                 skipped = [name]
             continue
         child = Node(name, at)
+        child.marks = marks
         at.inside.append(child)
         if not attributes.endswith("/") or name in BLOCKS:
             at = child
@@ -154,14 +169,6 @@ def tree(page: str) -> Node:
     return root
 
 
-def _within_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
-
-
 def _order(root: Node) -> list[Node]:
     out, stack = [], [root]
     while stack:
@@ -174,6 +181,9 @@ def _order(root: Node) -> list[Node]:
 def measure(root: Node) -> list[Node]:
     """Sets the counts, densities and density sums of all nodes; the nodes, parents first."""
     nodes = _order(root)
+    for node in nodes:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = 0.0
     for node in reversed(nodes):
         node.chars += sum(len(x.strip()) for x in node.inside if isinstance(x, str))
         if node.tag == "a":
@@ -197,8 +207,44 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def without_marked(root: Node) -> None:
+    """Takes marked elements out, but for those that are or hold the page's article, main part or headline, or most of its unlinked text.
+
+    Articles of comments and of related pages are not the page's. If nothing would be left, nothing is taken out.
+    """
+    nodes = measure(root)
+    if not any(n.marks for n in nodes):
+        return
+    text = root.chars - root.link_chars
+    own: set[int] = set()  # nodes that are or hold a main part or a headline
+    articles: set[int] = set()
+    for node in reversed(nodes):
+        if node.tag in ("main", "h1") and node.chars:
+            own.add(id(node))
+        if node.tag == "article" and not node.marks and node.chars:
+            articles.add(id(node))
+        if node.parent is not None:
+            if id(node) in own:
+                own.add(id(node.parent))
+            if id(node) in articles and node.marks.isdisjoint(OTHERS):
+                articles.add(id(node.parent))
+
+    def stays(n: Node) -> bool:
+        if not n.marks or id(n) in own or n.marks.isdisjoint(OTHERS) and id(n) in articles:
+            return True
+        return n.marks.isdisjoint(COMMENTS) and (n.chars - n.link_chars) * 2 > text
+
+    before = [(n, n.inside) for n in nodes]
+    for node in nodes:
+        node.inside = [x for x in node.inside if isinstance(x, str) or stays(x)]
+    if text and not any(x.strip() for n in _order(root) for x in n.inside if isinstance(x, str)):
+        for node, inside in before:
+            node.inside = inside
+
+
 def article(root: Node) -> list[Node]:
     """The nodes whose text is the article, in page order."""
+    without_marked(root)
     nodes = measure(root)
     body = next((n for n in nodes if n.tag == "body"), root)
     inner = _order(body)
@@ -211,13 +257,13 @@ def article(root: Node) -> list[Node]:
         way.append(node)
         node = node.parent
     threshold = min([body.density, *(n.density for n in way)])
-    kept = [best]
-    for node in way:
-        if node.tag in ("article", "main"):
-            return [node]
+    # The outermost article or main part around the body is whole; else the way starts at the body itself.
+    first = max((i for i, n in enumerate(way) if n.tag in ("article", "main")), default=0)
+    kept = [way[first] if way else best]
+    for node in way[first:]:
         if node.parent is not None:
             for x in node.parent.inside:
-                if isinstance(x, Node) and x is not node and x.density >= threshold and x.chars and x.link_chars * 2 < x.chars:
+                if isinstance(x, Node) and x is not node and (x.density >= threshold or x.tag == "article") and x.chars and x.link_chars * 2 < x.chars:
                     kept.append(x)
     place = {id(n): i for i, n in enumerate(_page_order(body))}
     return sorted(kept, key=lambda n: place[id(n)])

@@ -79,6 +79,36 @@ def test_odd_pages(page, text):
     assert main_text(page) == text
 
 
+LONG = "This is a sentence of the article, which is long enough to count as text. " * 3
+STORY = f"<article><p>{LONG}</p><p>Second. {LONG}</p></article>"
+
+
+@pytest.mark.parametrize("name", ["page has-sidebar", "content no-sidebar", "entry share-enabled", "nav-open wrapper", "page sidebar", "banner", "comments-open"])
+def test_marks_around_the_article_leave_it(name):
+    for page in (f"<body><div class='{name}'>{STORY}</div></body>", f"<body><div class='{name}'><h1>A title</h1><p>{LONG}</p></div></body>", f"<body><div id='{name}'><p>{LONG}</p><p>{LONG}</p></div><p>{LONG}</p></body>"):
+        assert LONG.strip() in main_text(page)
+
+
+def test_marked_parts_of_an_article_stay():
+    text = main_text(f"<body><article><p>{LONG}</p><p class='notice'>A notice of the author.</p><section class=discussion><p>We discuss this.</p></section><div class=share>Tell others</div></article></body>")
+    assert "A notice of the author." in text and "We discuss this." in text and "Tell others" not in text
+
+
+def test_comments_and_related_articles_go():
+    rest = f"<section id=comments><article class=comment><p>{LONG * 5} says a reader</p></article></section><div class=related><article><p>Another page</p></article></div>"
+    assert main_text(f"<body><main><h1>A title</h1>{STORY}{rest}</main></body>") == "\n\n".join(["A title", LONG.strip(), f"Second. {LONG.strip()}"])
+
+
+def test_headline_and_second_article_belong_to_the_text():
+    assert main_text(f"<body><main><h1>A title</h1>{STORY}</main></body>").startswith("A title\n\n")
+    assert main_text(f"<body><div>{STORY}<article><p>Another part. {LONG}</p></article></div></body>").endswith(f"Another part. {LONG.strip()}")
+
+
+def test_hidden_is_an_attribute_of_its_own():
+    assert main_text(f"<body><div title='the hidden  hidden text'><p>{LONG}</p></div></body>") == LONG.strip()
+    assert main_text(f"<body><div hidden><p>no</p></div><div aria-hidden=true>no</div><div style='display: none'>no</div><p>{LONG}</p></body>") == LONG.strip()
+
+
 def test_extraction_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5), (2, None, None, 5)], "page_id long, url string, html string, n_chars int")
     rows = sorted(extract(df).collect(), key=lambda r: r.page_id)
