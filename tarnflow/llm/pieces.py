@@ -166,6 +166,11 @@ def _with_ids(solved: DataFrame, model: Model) -> DataFrame:
     return solved.select("w", F.flatten(F.transform("path", of)).alias("ids"))
 
 
+def block_of(blocks: int) -> Column:
+    """The block of a row, by id and text: rows without id, or of one id, spread over the blocks."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+
+
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
     """(doc_id, ids array<int>), a row for each row of docs: the library's ids, without begin, end or added tokens.
 
@@ -194,7 +199,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
 
     size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    dealt = read.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition("block")
+    dealt = read.withColumn("block", block_of(blocks)).repartition("block")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, have = Encoder(word, path, lead), at_hand.value

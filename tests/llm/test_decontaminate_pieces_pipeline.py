@@ -142,6 +142,17 @@ def test_ids_equal_the_library_and_decode(spark):
     assert P.encode(df.limit(0)).count() == 0
 
 
+def test_rows_without_id_and_of_one_id_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK_BYTES", 200)
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(P.MODEL))
+    df = spark.createDataFrame([(i, f"some text {n} of rows") for i in (None, 7) for n in range(60)], "doc_id long, text string")
+    rows = P.encode(df).collect()
+    assert sorted(r.ids for r in rows) == sorted(sp.encode(t.text) for t in df.collect())
+    for one in (df.where("doc_id is null"), df.where("doc_id = 7")):
+        sizes = [r["count"] for r in one.groupBy(P.block_of(12).alias("block")).count().collect()]
+        assert len(sizes) >= 8 and max(sizes) <= 20
+
+
 def test_viterbi_fold_equals_brute_force(spark):
     rng = random.Random(1)
     table = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 3))) for _ in range(20)} - {"c"})
