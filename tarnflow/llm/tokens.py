@@ -10,8 +10,10 @@ makes no ids of whole texts, and nothing is shuffled.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -31,6 +33,8 @@ TABLE_ENTRIES = 300_000
 SLICE = 128
 BLANK = "▁"
 PRE_TOKEN = re.compile(f"\n|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
+#: The same, line breaks with what follows them.
+CHUNK = re.compile(f"\n[^{BLANK}\n]*|{BLANK}*[^{BLANK}\n]+|{BLANK}+")
 
 
 class Vocabulary:
@@ -43,7 +47,9 @@ class Vocabulary:
             raise ValueError(f"{model}: pieces cross pre-tokens, so counts by pre-token would be wrong")
         self.lead = len(self.sp.encode("\n"))
         self.counts: dict[str, int] = {}
-        self.encoded: dict[str, bytes] = {}
+        self.encoded = Encoded(self)
+        #: Type of an id in packed rows: numbers of 2 bytes where all ids fit, else of 4.
+        self.kind = "<u2" if self.sp.get_piece_size() <= 1 << 16 else "<u4"
 
     @staticmethod
     def pre_tokens(text: str) -> list[str]:
@@ -68,10 +74,45 @@ class Vocabulary:
         return [sum(pieces[p] * n for p, n in doc.items()) for doc in per_doc]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian numbers of 2 bytes."""
-        per_doc = [self.pre_tokens(t) for t in texts]
-        pieces = self.known(set().union(*per_doc), self.encoded, lambda x: np.array(x, "<u2").tobytes())
-        return [b"".join(map(pieces.__getitem__, doc)) for doc in per_doc]
+        """Ids of each text as little-endian numbers of self.kind."""
+        return [self._ids_of(t) for t in texts]
+
+    def _ids_of(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if len(self.encoded) > TABLE_ENTRIES:
+            self.encoded.clear()
+        if text[0] == " " or "  " in text or BLANK in text:
+            return b"".join(map(self.encoded.__getitem__, CHUNK.findall(BLANK + text.replace(" ", BLANK))))
+        # Single blanks only: chunks between them, each with the blank before it, and line breaks with what follows.
+        return b"".join(map(self.encoded.__getitem__, text.replace("\n", " \n").split(" ")))
+
+
+class Encoded(dict):
+    """Ids of chunks and pre-tokens, found when first asked for.
+
+    A chunk has a blank before it unless it begins with a line break or with blanks written out; an empty one is
+    that blank alone.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.sp, self.lead, self.type = vocabulary.sp, vocabulary.lead, "H" if vocabulary.sp.get_piece_size() <= 1 << 16 else "I"
+        self.blank = vocabulary.sp.encode("\n")[: self.blanks()]
+
+    def blanks(self) -> int:
+        return self.lead - len(self.sp.encode("\n\n")) + self.lead
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk:
+            ids = self.blank
+        elif chunk[0] == "\n":
+            ids = self.sp.encode(chunk)[len(self.blank) :]
+        elif chunk[0] == BLANK:
+            ids = self.sp.encode("\n" + chunk.replace(BLANK, " "))[self.lead :]
+        else:
+            ids = self.sp.encode(chunk)
+        self[chunk] = out = array(self.type, ids).tobytes()
+        return out
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -163,13 +204,14 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
     return out
 
 
-def _packed(docs: list[tuple[int, bytes]], block: int, length: int) -> pa.RecordBatch:
-    segments = [(doc, at, ids[2 * at : 2 * (at + length)]) for doc, ids in docs for at in range(0, len(ids) // 2, length)]
+def _packed(docs: list[tuple[int, bytes]], block: int, length: int, width: int) -> pa.RecordBatch:
+    """Packed rows of the documents' ids, each of so many bytes."""
+    segments = [(doc, at, ids[width * at : width * (at + length)]) for doc, ids in docs for at in range(0, len(ids) // width, length)]
     rows = []
-    for n, bin_ in enumerate(best_fit_decreasing([len(s[2]) // 2 for s in segments], length)):
+    for n, bin_ in enumerate(best_fit_decreasing([len(s[2]) // width for s in segments], length)):
         own = [segments[i] for i in bin_]
-        ends = np.cumsum([0, *(len(s[2]) // 2 for s in own)]).tolist()
-        rows.append((block, n, ends[-1], b"".join(s[2] for s in own).ljust(2 * length, b"\0"), ends, ends[:-1], [s[0] for s in own], [s[1] for s in own]))
+        ends = list(accumulate((len(s[2]) // width for s in own), initial=0))
+        rows.append((block, n, ends[-1], b"".join([s[2] for s in own]).ljust(width * length, b"\0"), ends, ends[:-1], [s[0] for s in own], [s[1] for s in own]))
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
     names = [x.split()[0] for x in PACKED.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
@@ -180,7 +222,7 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str =
 
     A document of more than ``length`` tokens is split into segments of that length and a rest; nothing is
     lost. Each task packs its documents in blocks by best-fit decreasing. A row: input_ids (length numbers of
-    2 bytes, little-endian, zeros behind n_tokens), cu_seqlens (cumulative segment lengths from 0),
+    2 bytes, of 4 for a vocabulary of more than 65536 pieces; little-endian, zeros behind n_tokens), cu_seqlens (cumulative segment lengths from 0),
     position_resets (where positions start again at 0), doc_ids and doc_starts (each segment's document and
     place in it, in tokens); block and pack number the rows. Documents without tokens (null or empty) have no
     segment; a repeated doc_id has the segments of each of its rows, and so has a null one.
@@ -189,16 +231,17 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str =
 
     def run(batches):
         vocabulary = Vocabulary(model)
+        width = np.dtype(vocabulary.kind).itemsize
         block, held, docs = TaskContext.get().partitionId() << 32, 0, []
         for part, texts in _slices(batches):
             for doc, ids in zip(part.column("doc_id").to_pylist(), vocabulary.encode(texts), strict=True):
                 docs.append((doc, ids))
-                held += len(ids) // 2
+                held += len(ids) // width
                 if held >= block_tokens:
-                    yield _packed(docs, block, length)
+                    yield _packed(docs, block, length, width)
                     block, held, docs = block + 1, 0, []
         if held:
-            yield _packed(docs, block, length)
+            yield _packed(docs, block, length, width)
 
     return read.mapInArrow(run, PACKED)
 

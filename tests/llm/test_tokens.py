@@ -30,6 +30,21 @@ def test_pre_tokens_add_up(text):
     assert np.frombuffer(v.encode([text])[0], "<u2").tolist() == v.sp.encode(text)
 
 
+def test_chunks_of_texts_equal_the_library():
+    v = Vocabulary()
+    for t in [*TEXTS, "a\n b", "\na", "a \nb ", "x\n\n\ny", " lead", "▁a\nb", "a  b\nc", "tail "]:
+        assert np.frombuffer(v.encode([t or ""])[0], v.kind).tolist() == v.sp.encode(t or "")
+    assert v.kind == "<u2"
+
+
+def test_packing_of_repeated_rows_null_ids_and_extra_columns(spark):
+    sp = library()
+    df = spark.createDataFrame([(1, "one two", "x"), (1, "one two", "y"), (None, "three", "x"), (2, None, None)], "doc_id long, text string, pack string")
+    found = sorted(((d, p.input_ids[2 * a : 2 * b]) for p in pack(df, length=64).collect() for d, a, b in zip(p.doc_ids, p.cu_seqlens, p.cu_seqlens[1:])), key=str)
+    two = np.array(sp.encode("one two"), "<u2").tobytes()
+    assert found == sorted([(1, two), (1, two), (None, np.array(sp.encode("three"), "<u2").tobytes())], key=str)
+
+
 def test_packing_is_lossless(spark, tmp_path):
     sp = library()
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
