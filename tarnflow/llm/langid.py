@@ -23,10 +23,10 @@ from pyspark.sql.window import Window
 from tarnflow.llm.tables import table
 
 ORDERS = (1, 2, 3, 4)
-#: Labelled texts of each language that train the classifier, and those that are landmarks: the bounds of the sample.
-TRAIN_PER_LANG, LANDMARKS_PER_LANG = 300, 40
-#: Longer training texts are left to prediction, which reads whole texts; the sample so has a bounded size.
-TRAIN_BYTES = 8_000
+#: The sample of labelled texts: of each language this many rows at most, dealt to parts by a hash, and of these so many are landmarks.
+SAMPLE_PARTS, ROWS_PER_PART, LANDMARKS_PER_LANG = 64, 5, 40
+#: Texts up to so many bytes are taken first; longer ones, whole, where a part has too few of them.
+SHORT_BYTES = 8_000
 RIDGE = 1e-2
 SHARP = 6.0
 UNKNOWN = "und"
@@ -138,15 +138,16 @@ def held_out(doc_id):
 
 
 def training_sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> list[tuple[str, str]]:
-    """At most TRAIN_PER_LANG labelled texts of each language, of TRAIN_BYTES at most, chosen by a hash of their id."""
-    some = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.octet_length(text).between(1, TRAIN_BYTES) & F.col(text).rlike(r"\p{L}"))
-    some = some.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), F.lit("train")).alias("h"))
-    # First within many parts of a language, then among what they leave, so that no task sorts a whole language.
-    parts = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "text")
-    some = some.withColumn("n", F.row_number().over(parts)).where(F.col("n") <= TRAIN_PER_LANG).drop("n")
-    first = Window.partitionBy("lang").orderBy("h", "text")
-    rows = some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= TRAIN_PER_LANG).collect()
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.n))]
+    """Labelled texts, whole: of each of a language's SAMPLE_PARTS parts ROWS_PER_PART at most, short ones first, then by a hash of id and text.
+
+    Rows are chosen by their hashes; only the texts of chosen rows leave their tasks. Equal rows count once.
+    """
+    some = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    some = some.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id).cast("string"), F.lit("train"), F.col(text)).alias("h"))
+    first = Window.partitionBy("lang", F.pmod("h", F.lit(SAMPLE_PARTS))).orderBy(F.octet_length("text") > SHORT_BYTES, "h")
+    keys = some.select("lang", "h", F.row_number().over(first).alias("n")).where(F.col("n") <= ROWS_PER_PART).groupBy("lang", "h").agg(F.min("n").alias("n"))
+    rows = some.join(F.broadcast(keys), ["lang", "h"]).groupBy("lang", "n", "h").agg(F.first("text").alias("text")).collect()
+    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.n, r.h))]
 
 
 def predict(df: DataFrame, model: Classifier, text: str = "text") -> DataFrame:

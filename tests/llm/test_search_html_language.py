@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnflow.llm.html import extract, main_text
-from tarnflow.llm.langid import codes, gram_sets, held_out, op8_language, predict, train
+from tarnflow.llm.langid import codes, fitted, gram_sets, held_out, op8_language, predict, train, training_sample
 from tarnflow.llm.neighbours import Codes, nearest, probes
 
 # Nearest vectors.
@@ -154,6 +154,16 @@ def test_query_on_held_out_documents(spark, tmp_path):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rng = random.Random(7)
+    rows = [(i, text_of(rng, "en"), "en") for i in range(40)] + [(100 + i, " ".join(text_of(rng, "de") for _ in range(120)), "de") for i in range(12)]
+    df = spark.createDataFrame([r for r in rows for _ in range(2)], "doc_id long, text string, lang string")
+    assert min(len(t) for _, t, g in rows if g == "de") > 8000
+    sample = training_sample(df)
+    assert len(sample) == len(set(sample)) and set(sample) == {(t, g) for _, t, g in rows}
+    assert {r.doc_id: r.lang_pred for r in predict(df, fitted(df)).collect()} == {i: g for i, _, g in rows}
+
+
 def test_nothing_learned(spark):
     df = spark.createDataFrame([(1, "text"), (None, None)], "doc_id long, text string")
     assert {r.lang_pred for r in predict(df, train([])).collect()} == {"und"}
