@@ -3,48 +3,56 @@
 Pre-tokens ("words") are cut where no piece can cross, so each word is encoded alone. The lattice: every
 substring of a word up to the longest piece's length, joined to the piece table; the edges that match are
 grouped by word and folded with ``aggregate``. A unigram model's fold is Viterbi's best path. A BPE
-model's scores are merge ranks, whose sums mean nothing, so its fold merges instead: in each step the
-best-ranked edge that spans two neighbouring symbols; the current ends of symbols are one bit mask.
+model's scores are merge ranks, whose sums mean nothing, so its fold merges instead. Every piece of such a
+model is made by merges of lower rank (``Model`` checks this), so merges come in the order of their ranks
+and one pass over a word's edges, by rank and place, does them all: an edge merges if it spans just
+two symbols. The current ends of symbols are a bit mask, of longer words an array of masks.
 
 Words are encoded once each. A dictionary of bounded size, of words frequent in a part of the documents,
-goes to all tasks; for other words, each block of documents asks once. It only saves shuffling.
+goes to all tasks; for other words, each block of documents asks once. It only saves shuffling. Texts
+are shuffled once, as compressed blocks.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnflow.llm.shared import checkpointed
 from tarnflow.llm.tables import table
-from tarnflow.llm.tokens import BLANK, MODEL
+from tarnflow.llm.tokens import BLANK, CHUNK, MODEL
 
-#: Longer words (in code points, all bits of a mask) go to the library itself.
-LONGEST = 60
+#: Places in a mask. Longer words are cut at pairs of code points that no piece holds; if still longer, they have several masks.
+BITS = 60
 #: Words in the dictionary of frequent ones, each of DICTIONARY_CHARS at most; every so manieth document is read for it.
-DICTIONARY_WORDS, DICTIONARY_CHARS, DICTIONARY_EVERY = 1 << 17, 24, 16
-#: Bytes of text in a block.
+DICTIONARY_WORDS, DICTIONARY_CHARS, DICTIONARY_EVERY = 1 << 18, 24, 16
+#: Bytes of text in a block, but for the last text of a block, which is whole.
 BLOCK_BYTES = 4_000_000
 #: A piece table of more rows isn't broadcast.
 MOST_PIECES = 1 << 20
 #: What an unknown code point scores below the least piece.
 UNKNOWN_PENALTY = 10.0
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~'"
+#: The last rank, in 23 bits, of what has no piece and of one rank beyond; a place has 32 bits, a length 8.
+LAST = (1 << 23) - 1
 
 
 class Model:
     """The piece table of a model file, and where words end."""
 
     def __init__(self, model: str = MODEL):
-        self.path = public_tokenizers.path(model)
-        sp = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(model))
         ids = range(sp.get_piece_size())
         self.pieces = [(sp.id_to_piece(i), i, float(sp.get_score(i))) for i in ids if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.bytes = {int(sp.id_to_piece(i)[3:5], 16): i for i in ids if sp.is_byte(i)}
@@ -52,16 +60,52 @@ class Model:
         self.longest = max(len(p) for p, _, _ in self.pieces)
         self.least = min(s for _, _, s in self.pieces)
         text = [p for p, _, _ in self.pieces]
-        if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in text):
-            raise ValueError(f"{model}: pieces cross words")
+        if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in text) or self.longest >= BITS:
+            raise ValueError(f"{model}: pieces cross words, or are too long")
         # Punctuation that no piece holds behind a letter begins a new word there.
         behind = {p[i] for p in text for i in range(1, len(p)) if p[i - 1].isalpha()}
         cut = "".join(re.escape(c) for c in PUNCTUATION if c not in behind) or "\n"
         self.word = rf"\n|{BLANK}*[^{BLANK}\n][^{BLANK}\n{cut}]*(?:(?<![^\W\d_])[{cut}][^{BLANK}\n{cut}]*)*|{BLANK}+"
-        # The library puts a blank before a text and keeps it with a line break put before; both are cut off.
-        self.lead = len(sp.encode("\n"))
+        self.pairs = frozenset(p[i : i + 2] for p in text for i in range(len(p) - 1))
         # A unigram model's scores are logarithms of shares, a BPE model's whole numbers: its merges in order.
         self.merges = all(s == int(s) for _, _, s in self.pieces)
+        if self.merges and not (in_order(self.pieces) and len({s for _, _, s in self.pieces if -s >= LAST}) <= 1):
+            raise ValueError(f"{model}: pieces aren't made by merges in the order of their ranks")
+
+
+def one_pass(word: str, rank: dict[str, float], below: float = float("inf")) -> list[int]:
+    """Ends of symbols after one pass over a word's edges of lower rank, by rank, by end, the shorter of equal ones first."""
+    n = len(word)
+    edges = sorted((r, b, -a) for a in range(n) for b in range(a + 2, n + 1) if (r := rank.get(word[a:b], below)) < below)
+    ends = set(range(n + 1))
+    for _, b, a in edges:
+        if -a in ends and b in ends and len(inside := ends & set(range(1 - a, b))) == 1:
+            ends -= inside
+    return sorted(ends)
+
+
+def all_merges(word: str, rank: dict[str, float]) -> list[int]:
+    """Ends of symbols if each time the neighbours of the least rank merge, of equal ranks the first."""
+    ends = list(range(len(word) + 1))
+    while len(ends) > 2 and (best := min((rank.get(word[ends[i] : ends[i + 2]], float("inf")), i) for i in range(len(ends) - 2)))[0] < float("inf"):
+        del ends[best[1] + 1]
+    return ends
+
+
+def in_order(pieces: list[tuple[str, int, float]]) -> bool:
+    """Whether one pass does all merges of any word: merges of lower rank make two symbols of every piece.
+
+    Then none can come after one of higher rank. Pieces of equal rank may only be runs of one code point; their runs are tried.
+    """
+    rank = {p: -s for p, _, s in pieces}
+    seen: dict[float, int] = {}
+    for p, r in rank.items():
+        seen[r] = seen.get(r, 0) + (len(p) > 1)
+    runs = {p[0] for p, r in rank.items() if len(p) > 1 and seen[r] > 1 and p == p[0] * len(p)}
+    longest = max(map(len, rank))
+    if any(one_pass(c * n, rank) != all_merges(c * n, rank) for c in runs for n in range(1, 4 * longest)):
+        return False
+    return all(p == p[0] * len(p) and p[0] in runs if seen[r] > 1 else len(one_pass(p, rank, r)) == 3 for p, r in rank.items() if len(p) > 1)
 
 
 def substrings(words: DataFrame, longest: int) -> DataFrame:
@@ -75,46 +119,95 @@ def _bit(i: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))
 
 
-def _between(e: Column) -> Column:
-    """Bits of the places inside an edge."""
-    return _bit(e["b"]) - _bit(F.lit(1) - e["back"])
+def _ends(a: Column, b: Column) -> Column:
+    return _bit(a).bitwiseOR(_bit(b))
+
+
+def _inner(a: Column, b: Column) -> Column:
+    """Bits of the places between two places."""
+    return _bit(b) - _bit(a + 1)
+
+
+def _end(key: Column) -> Column:
+    return F.shiftright(key, 8).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
 
-def merged(edges: Column, n: Column) -> Column:
-    """Merge fold: the ends of symbols that are left, as bits. edges: (score, back = -a, b, ends = bits of a and b, inner) of more than one code point."""
+def _begin(key: Column) -> Column:
+    return _end(key) - key.bitwiseAND(F.lit(255)).cast("int")
 
-    def step(mask: Column, _: Column) -> Column:
+
+def _merged(edges: Column, n: Column) -> Column:
+    """Merge fold of a word of fewer than BITS code points: the ends of symbols that are left, as bits."""
+
+    def step(mask: Column, e: Column) -> Column:
         # Both ends are ends of symbols, and one end lies between: the edge spans two neighbours.
-        best = F.array_max(F.filter(edges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1)))
-        return mask.bitwiseAND(F.bitwise_not(F.coalesce(best["inner"], F.lit(0).cast("long"))))
+        spans = (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1)
+        return F.when(spans, mask.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(mask)
+
+    return F.aggregate(edges, _bit(n + 1) - 1, step)
+
+
+def _part(a: Column, b: Column, n: int) -> tuple[Column, Column, Column]:
+    """(first mask, its bits, the next mask's bits) of the places from a to b, b not included; fewer than BITS places."""
+    first, at = F.floor(a / n).cast("int"), a % n
+    stop = F.least(b - a + at, F.lit(n))
+    return first, _bit(stop) - _bit(at), _bit(F.greatest(b - a + at - n, F.lit(0))) - 1
+
 
-    return F.aggregate(F.sequence(F.lit(1), n - 1), _bit(n + 1) - 1, step)
+def _merged_long(edges: Column, n: Column) -> Column:
+    """Merge fold of a word of any length: an array of masks of BITS places each. Work grows with the edges, and with the square of the length over BITS."""
+    start = F.transform(F.sequence(F.lit(0), F.floor(n / BITS).cast("int")), lambda i: _bit(F.least(n + 1 - i * BITS, F.lit(BITS))) - 1)
+
+    def step(masks: Column, e: Column) -> Column:
+        a, b = _begin(e["key"]), _end(e["key"])
+        at, low, high = _part(a + 1, b, BITS)
+        masks_at = lambda i: F.coalesce(F.get(masks, i), F.lit(0).cast("long"))
+        is_end = lambda p: masks_at(F.floor(p / BITS).cast("int")).bitwiseAND(_bit(p % BITS)) != 0
+        between = F.bit_count(masks_at(at).bitwiseAND(low)) + F.bit_count(masks_at(at + 1).bitwiseAND(high))
+        without = F.transform(masks, lambda x, i: F.when(i == at, x.bitwiseAND(F.bitwise_not(low))).when(i == at + 1, x.bitwiseAND(F.bitwise_not(high))).otherwise(x))
+        return F.when((b > a + 1) & is_end(a) & is_end(b) & (between == 1), without).otherwise(masks)
+
+    return F.aggregate(edges, start, step)
+
+
+def _symbols_long(masks: Column) -> Column:
+    """(begin, end) of each symbol, as a map from begin to end."""
+    places = F.flatten(F.transform(masks, lambda x, i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda p: F.call_function("getbit", x, p) == 1), lambda p: i * BITS + p)))
+    return F.map_from_arrays(F.slice(places, 1, F.size(places) - 1), F.slice(places, 2, F.size(places) - 1))
 
 
 def lattice(words: DataFrame, pieces: DataFrame, model: Model) -> DataFrame:
-    """(w, ids) for distinct words of 1 to LONGEST code points. words stays partitioned as it is."""
+    """(w, path) for distinct words: id, or the code point itself where it has no piece, of each symbol. words stays partitioned as it is."""
     table_ = F.broadcast(pieces) if len(model.pieces) <= MOST_PIECES else pieces
     found = substrings(words, model.longest).join(table_, "piece", "left").where("id is not null or b = a + 1")
-    place = {"a": F.col("a"), "b": F.col("b"), "back": -F.col("a")}
-    inner = _between(place)
-    edge = F.struct("score", place["back"].alias("back"), "b", _bit(place["a"]).bitwiseOR(_bit(place["b"])).alias("ends"), inner.alias("inner"), "id", F.when(F.col("id").isNull(), F.col("piece")).alias("raw"))
-    # What has no piece is one code point, and is never merged.
-    longer = F.struct("score", place["back"].alias("back"), "b", _bit(place["a"]).bitwiseOR(_bit(place["b"])).alias("ends"), inner.alias("inner"))
-    grouped = found.groupBy("w").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"), F.collect_list(F.when(F.col("id").isNotNull() & (F.col("b") > F.col("a") + 1), longer)).alias("wide"))
-    if model.merges:
-        whole = F.when(F.col("n") > 1, merged(F.col("wide"), F.col("n"))).otherwise(F.lit(3).cast("long"))
-        solved = grouped.withColumn("mask", whole)
-        path = F.filter("edges", lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inner"]) == 0))
-    else:
-        solved = grouped.withColumn("best", _viterbi(F.col("edges"), F.col("n"), model.least - UNKNOWN_PENALTY))
-        path = F.col("best")
-    ordered = F.sort_array(F.transform(path, lambda e: F.struct((-e["back"]).alias("a"), e["id"].alias("id"), e["raw"].alias("raw"))))
-    return solved.select("w", F.transform(ordered, lambda e: F.struct(e["id"], e["raw"])).alias("path"))
+    a, b = F.col("a"), F.col("b")
+    raw = lambda at: F.substring(F.col("w"), at + 1, F.lit(1))
+    if not model.merges:
+        edge = F.struct("score", (-a).alias("back"), "b", "id")
+        best = _viterbi(F.col("edges"), F.col("n"), model.least - UNKNOWN_PENALTY)
+        solved = found.groupBy("w").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges")).select("w", best.alias("best"))
+        return solved.select("w", F.transform("best", lambda e: F.struct(e["id"].alias("id"), F.when(e["id"].isNull(), raw(-e["back"])).alias("raw"))).alias("path"))
+    # By rank, then by end, the shorter first.
+    key = F.shiftleft(F.coalesce(F.least(-F.col("score"), F.lit(LAST)), F.lit(LAST)).cast("long"), 40).bitwiseOR(F.shiftleft(b.cast("long"), 8)).bitwiseOR((b - a).cast("long"))
+    # The bits of longer words' edges mean nothing; their fold reads the keys.
+    x, y = a % BITS, b % BITS
+    edges = found.select("w", F.struct(key.alias("key"), _ends(x, y).alias("ends"), _inner(x, y).alias("inner"), "id").alias("edge"))
+    grouped = edges.groupBy("w").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    n = F.length("w")
+    # Exploding one row keeps a fold from being done anew for each edge that its result is compared with.
+    short = grouped.where(n < BITS).withColumn("mask", F.explode(F.array(_merged(F.col("edges"), n))))
+    path = F.filter("edges", lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inner"]) == 0))
+    long = grouped.where(n >= BITS).withColumn("masks", F.explode(F.array(_merged_long(F.col("edges"), n)))).withColumn("ends", F.explode(F.array(_symbols_long(F.col("masks")))))
+    within = F.filter("edges", lambda e: F.try_element_at("ends", _begin(e["key"])) == _end(e["key"]))
+    def ordered(path: Column) -> Column:
+        by_place = F.sort_array(F.transform(path, lambda e: F.struct(_begin(e["key"]).alias("a"), e["id"].alias("id"))))
+        return F.transform(by_place, lambda e: F.struct(e["id"].alias("id"), F.when(e["id"].isNull(), raw(e["a"])).alias("raw"))).alias("path")
+    return short.select("w", ordered(path)).unionByName(long.select("w", ordered(within)))
 
 
 def _viterbi(edges: Column, n: Column, unknown: float) -> Column:
     """Best path: for each end the best edge into it; the longest of equal ones."""
-    start = F.array(F.struct(F.lit(0.0).alias("total"), F.array().cast("array<struct<score:double,back:int,b:int,ends:bigint,inner:bigint,id:int,raw:string>>").alias("path")))
+    start = F.array(F.struct(F.lit(0.0).alias("total"), F.array().cast("array<struct<score:double,back:int,b:int,id:int>>").alias("path")))
 
     def step(best: Column, end: Column) -> Column:
         into = F.transform(
@@ -127,33 +220,108 @@ def _viterbi(edges: Column, n: Column, unknown: float) -> Column:
     return F.get(F.aggregate(F.sequence(F.lit(1), n), start, step), n)["path"]
 
 
-class Encoder:
-    """Ids of texts from the ids of their words."""
-
-    def __init__(self, word: str, path: str, lead: int):
-        self.word, self.lead = re.compile(word), lead
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.own: dict[str, bytes] = {}
+class Words:
+    """Chunks and words of texts. The words of a chunk are those of its text wherever it stands."""
 
-    def words(self, text: str | None) -> list[str]:
-        return self.word.findall(BLANK + text.replace(" ", BLANK)) if text else []
+    def __init__(self, word: str, pairs: frozenset[str]):
+        self.word, self.pairs = re.compile(word), pairs
 
     @staticmethod
     def chunks(text: str | None) -> list[str]:
-        """Parts of a text at its single blanks; each is a text whose words are looked for once, however often it comes. A text with runs of blanks is one part."""
+        """Parts of a text between single blanks, each with the blank before it; line breaks with what follows them. A text with runs of blanks has its blanks written out."""
         if not text:
             return []
-        return [text] if "  " in text or BLANK in text or text[0] == " " or text[-1] == " " else text.split(" ")
+        return CHUNK.findall(BLANK + text.replace(" ", BLANK)) if text[0] == " " or "  " in text or BLANK in text else text.replace("\n", " \n").split(" ")
+
+    def of(self, chunk: str) -> list[str]:
+        words = self.word.findall(chunk if chunk[:1] in ("\n", BLANK) and chunk else BLANK + chunk)
+        return words if len(chunk) < BITS else [x for w in words for x in (self.cut(w) if len(w) >= BITS else (w,))]
 
-    def outside(self, word: str) -> bytes | None:
-        """Ids of what the lattice doesn't take: line breaks, runs of blanks and over-long words."""
-        if word != "\n" and len(word) <= LONGEST:
-            return None
-        if word not in self.own:
-            if len(self.own) > 10_000:
-                self.own.clear()
-            self.own[word] = np.array(self.sp.encode("\n" + word.replace(BLANK, " "))[self.lead :], "<i4").tobytes()
-        return self.own[word]
+    def cut(self, word: str) -> list[str]:
+        """A word's parts, cut at pairs of code points that no piece holds."""
+        at = [0, *(i + 1 for i, (a, b) in enumerate(pairwise(word)) if a + b not in self.pairs), len(word)]
+        return [word[a:b] for a, b in pairwise(at)]
+
+    def of_block(self, texts: list[str | None]) -> list[str]:
+        """Different words of some texts, sorted."""
+        chunks: set[str] = set()
+        for t in texts:
+            chunks.update(self.chunks(t))
+        words: set[str] = set()
+        for c in chunks:
+            words.update(self.of(c))
+        return sorted(words)
+
+
+def _joined(texts: list[str | None]) -> bytes:
+    """Texts as one compressed string, each behind its length; null is -1."""
+    raw = [t.encode() if t is not None else None for t in texts]
+    lengths = np.array([-1 if r is None else len(r) for r in raw], "<i8")
+    return zstandard.ZstdCompressor(level=3).compress(lengths.tobytes() + b"".join(r for r in raw if r))
+
+
+def _parted(packed: bytes, n: int) -> list[str | None]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    out, at = [], 8 * n
+    for length in np.frombuffer(raw[: 8 * n], "<i8").tolist():
+        out.append(None if length < 0 else raw[at : at + length].decode())
+        at += max(length, 0)
+    return out
+
+
+def in_blocks(read: DataFrame) -> DataFrame:
+    """(block, doc_ids, texts): runs of a task's rows, of BLOCK_BYTES or one text more; so rows of any id spread alike."""
+    bound = BLOCK_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, size, ids, texts = TaskContext.get().partitionId() << 32, 0, [], []
+
+        def row() -> pa.RecordBatch:
+            columns = [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([_joined(texts)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "texts"])
+
+        for batch in batches:
+            for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+                ids.append(i.as_py())
+                texts.append(t.as_py())
+                size += len(texts[-1] or "")
+                if size >= bound:
+                    yield row()
+                    block, size, ids, texts = block + 1, 0, [], []
+        if ids:
+            yield row()
+
+    return read.mapInArrow(run, "block long, doc_ids array<long>, texts binary")
+
+
+class Dictionary:
+    """Ids of frequent words, as two arrays."""
+
+    def __init__(self, words: pa.Array, ids: pa.Array):
+        self.words, self.ids = words, ids
+
+    def split(self, words: list[str]) -> tuple[list[str], dict[str, bytes]]:
+        """(words that aren't here, ids of those that are)."""
+        at = pc.index_in(pa.array(words, pa.string()), value_set=self.words).to_numpy(zero_copy_only=False)
+        known = ~np.isnan(at) if at.dtype.kind == "f" else np.ones(len(at), bool)
+        ids = self.ids.take(pa.array(at[known].astype(np.int64)))
+        return [w for w, k in zip(words, known, strict=True) if not k], dict(zip([w for w, k in zip(words, known, strict=True) if k], _id_bytes(ids), strict=True))
+
+
+def _id_bytes(lists: pa.ListArray) -> list[bytes]:
+    raw, ends = lists.flatten().to_numpy().astype("<i4").tobytes(), np.cumsum([0, *lists.value_lengths().to_pylist()]).tolist()
+    return [raw[4 * a : 4 * b] for a, b in pairwise(ends)]
+
+
+class Assembler(dict):
+    """Ids of chunks, put together from those of their words when first asked for."""
+
+    def __init__(self, words: Words, ids: dict[str, bytes]):
+        self.words, self.ids = words, ids
+
+    def __missing__(self, chunk: str) -> bytes:
+        self[chunk] = out = b"".join(map(self.ids.__getitem__, self.words.of(chunk)))
+        return out
 
 
 def _with_ids(solved: DataFrame, model: Model) -> DataFrame:
@@ -166,76 +334,60 @@ def _with_ids(solved: DataFrame, model: Model) -> DataFrame:
     return solved.select("w", F.flatten(F.transform("path", of)).alias("ids"))
 
 
-def block_of(blocks: int) -> Column:
-    """The block of a row, by id and text: rows without id, or of one id, spread over the blocks."""
-    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
-
-
 def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str = MODEL) -> DataFrame:
     """(doc_id, ids array<int>), a row for each row of docs: the library's ids, without begin, end or added tokens.
 
     A null or empty text has no ids. Repeated rows are repeated; a null doc_id is one like others; an empty
-    table gives no rows. Words of more than LONGEST code points are encoded by the library in the task.
+    table gives no rows. A word that no pair of code points cuts is one row of the lattice, however long.
     """
     spark = docs.sparkSession
     spec = Model(model)
     pieces = spark.createDataFrame(spec.pieces, "piece string, id int, score double")
-    word, path, lead = spec.word, spec.path, spec.lead
+    word, pairs = spec.word, spec.pairs
     read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     # Frequent words, counted in a part of the documents.
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(word, path, lead)
+        words = Words(word, pairs)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                seen = pa.array([w for t in batch.column("text").slice(at, 512).to_pylist() for w in encoder.words(t)], pa.string()).value_counts()
+                seen = pa.array([w for t in batch.column("text").slice(at, 512).to_pylist() for c in words.chunks(t) for w in words.of(c)], pa.string()).value_counts()
                 yield pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], ["w", "n"])
 
-    some = read.where(F.pmod(F.xxhash64("doc_id", F.lit("words")), F.lit(DICTIONARY_EVERY)) == 0).select("text")
-    some = some.mapInArrow(counted, "w string, n long").where((F.length("w") <= DICTIONARY_CHARS) & (F.col("w") != "\n"))
+    some = read.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("words")), F.lit(DICTIONARY_EVERY)) == 0).select("text")
+    some = some.mapInArrow(counted, "w string, n long").where(F.length("w") <= DICTIONARY_CHARS)
     frequent = some.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(DICTIONARY_WORDS).select("w").repartition("w")
-    solved = checkpointed(_with_ids(lattice(frequent, pieces, spec), spec))
-    at_hand = spark.sparkContext.broadcast({r.w: np.array(r.ids, "<i4").tobytes() for r in solved.toLocalIterator()})
+    solved = checkpointed(_with_ids(lattice(frequent, pieces, spec), spec)).toArrow().combine_chunks()
+    at_hand = spark.sparkContext.broadcast(Dictionary(*[c.combine_chunks() for c in (solved.column("w"), solved.column("ids"))]))
 
-    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    dealt = read.withColumn("block", block_of(blocks)).repartition("block")
+    dealt = in_blocks(read).repartition("block")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, have = Encoder(word, path, lead), at_hand.value
-        seen: dict[int, set[str]] = {}
+        words, have = Words(word, pairs), at_hand.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                new: dict[int, set[str]] = {}
-                for b, t in zip(batch.column("block").slice(at, 1024).to_pylist(), batch.column("text").slice(at, 1024).to_pylist(), strict=True):
-                    new.setdefault(b, set()).update(encoder.chunks(t))
-                for b, chunks in new.items():
-                    words = {w for c in chunks for w in encoder.words(c)}
-                    out = [w for w in words - seen.setdefault(b, set()) if w not in have and encoder.outside(w) is None]
-                    seen[b].update(out)
-                    yield pa.RecordBatch.from_arrays([pa.array([b] * len(out), pa.int32()), pa.array(out, pa.string())], ["block", "w"])
-
-    need = dealt.mapInArrow(asked, "block int, w string").repartition("w")
-    # The least block keeps both uses of need the same for Spark, so that words are asked for once.
-    rare = _with_ids(lattice(need.groupBy("w").agg(F.min("block").alias("block")).where("block >= 0").select("w"), pieces, spec), spec)
-    answers = need.join(rare, "w").select("block", "w", "ids")
-
-    def assembled(texts: pa.Table, words: pa.Table) -> pa.Table:
-        encoder, have = Encoder(word, path, lead), at_hand.value
-        own = {w: np.array(i, "<i4").tobytes() for w, i in zip(words.column("w").to_pylist(), words.column("ids").to_pylist(), strict=True)}
-        known: dict[str, bytes] = {}
-
-        def of(chunk: str) -> bytes:
-            parts = [have.get(w) or own.get(w) or encoder.outside(w) for w in encoder.words(chunk)]
-            known[chunk] = out = b"".join(parts)
-            return out
-
-        ends, found = [0], []
-        for text in texts.column("text"):
-            found.append(b"".join([known.get(c) or of(c) for c in encoder.chunks(text.as_py())]))
-            ends.append(ends[-1] + len(found[-1]) // 4)
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(found), "<i4")))
-        return pa.Table.from_arrays([texts.column("doc_id"), ids], ["doc_id", "ids"])
+            for block, ids, packed in zip(*(batch.column(c) for c in ("block", "doc_ids", "texts")), strict=True):
+                new, _ = have.split(words.of_block(_parted(packed.as_py(), len(ids))))
+                for at in range(0, len(new), 10_000):
+                    n = len(new[at : at + 10_000])
+                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * n, pa.int64()), pa.array(range(at, at + n), pa.int32()), pa.array(new[at : at + n], pa.string())], ["block", "at", "w"])
+
+    need = dealt.mapInArrow(asked, "block long, at int, w string").repartition("w")
+    # Places are never negative: both uses of need so stay the same for Spark, and words are asked for once.
+    rare = _with_ids(lattice(need.groupBy("w").agg(F.min("at").alias("at")).where("at >= 0").select("w"), pieces, spec), spec)
+    answers = need.join(rare, "w").select("block", "at", "ids")
+
+    def assembled(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        words = Words(word, pairs)
+        ids = blocks.column("doc_ids").combine_chunks().flatten()
+        texts = _parted(blocks.column("texts")[0].as_py(), len(ids))
+        new, known = at_hand.value.split(words.of_block(texts))
+        order = np.argsort(answers.column("at").to_numpy())
+        known.update(zip(new, _id_bytes(answers.column("ids").combine_chunks().take(pa.array(order))), strict=True))
+        found = Assembler(words, known)
+        out = [b"".join(map(found.__getitem__, words.chunks(t))) for t in texts]
+        ends = np.cumsum([0, *(len(x) // 4 for x in out)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
+        return pa.Table.from_arrays([ids, lists], ["doc_id", "ids"])
 
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assembled, "doc_id long, ids array<int>")
 

@@ -149,8 +149,34 @@ def test_rows_without_id_and_of_one_id_spread_over_blocks(spark, monkeypatch):
     rows = P.encode(df).collect()
     assert sorted(r.ids for r in rows) == sorted(sp.encode(t.text) for t in df.collect())
     for one in (df.where("doc_id is null"), df.where("doc_id = 7")):
-        sizes = [r["count"] for r in one.groupBy(P.block_of(12).alias("block")).count().collect()]
-        assert len(sizes) >= 8 and max(sizes) <= 20
+        sizes = [r.n for r in P.in_blocks(one).select(F.size("doc_ids").alias("n")).collect()]
+        assert sum(sizes) == 60 and len(sizes) >= 4 and max(sizes) <= 20
+
+
+def test_words_outside_the_dictionary(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(P, "DICTIONARY_WORDS", 3)
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(P.MODEL))
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice(["the", "ing", "é", "ß", "a", "12", ".", "X", "日"]) for _ in range(rng.randint(1, 6)))
+    df = spark.createDataFrame([(i, rng.choice([" ", "  ", "\n"]).join(word() for _ in range(rng.randint(0, 60)))) for i in range(80)], "doc_id long, text string")
+    assert {r.doc_id: r.ids for r in P.encode(df).collect()} == {r.doc_id: sp.encode(r.text) for r in df.collect()}
+
+
+def test_long_words_stay_in_the_lattice(spark):
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(P.MODEL))
+    rng = random.Random(4)
+    syllables = ["tion", "the", "er", "in", "an", "on", "st", "re", "and", "ing"]
+    texts = ["".join(rng.choice(syllables) for _ in range(n)) for n in (14, 15, 16, 17, 18, 50, 60, 100, 400)] + [" " * n + t for n in (1, 15, 40, 59, 60, 61, 200) for t in ("", "a", "é", "\n")] + ["a" * n for n in (58, 59, 60, 61, 119, 120, 121, 200)]
+    rows = {r.doc_id: r.ids for r in P.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[i] for i in range(len(texts))] == [sp.encode(t) for t in texts]
+    m = P.Model()
+    assert any(len(x) > 200 for x in P.Words(m.word, m.pairs).of(texts[8])) and P.one_pass("▁" * 30, {p: -s for p, _, s in m.pieces}) == [0, 16, 30]
+
+
+def test_models_whose_merges_are_not_in_order_are_told():
+    assert P.in_order([("a", 0, -9.0), ("b", 1, -9.5), ("ab", 2, -1.0), ("abb", 3, -2.0)])
+    assert not P.in_order([("a", 0, -9.0), ("b", 1, -9.5), ("ab", 2, -2.0), ("abb", 3, -1.0)])
 
 
 def test_viterbi_fold_equals_brute_force(spark):
