@@ -15,6 +15,7 @@ from tarnflow.llm.jaccard import similar
 from tarnflow.llm.langid import UNKNOWN, fitted, predict
 from tarnflow.llm.pieces import encode
 from tarnflow.llm.pii import redact
+from tarnflow.llm.shared import checkpointed
 from tarnflow.llm.tables import table
 
 #: A language scored below this is hardly likelier than the others.
@@ -71,7 +72,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage keeps is written to the shared folder before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
