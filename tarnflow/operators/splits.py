@@ -58,8 +58,7 @@ def leave_last_out(log: DataFrame, user: str = "user", item: str = "item", ts: s
 
 def at_random(df: DataFrame, keys: list[str], share: float, seed: int = 1) -> DataFrame:
     """df with dset: training for about the given share of rows, by a hash of the keys; no row needs another to be placed."""
-    point = F.conv(F.substring(drawn(seed, *keys), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    return df.withColumn("dset", F.when(point < share, TRAIN).otherwise(TEST))
+    return df.withColumn("dset", F.when(share_of(seed, *keys) < share, TRAIN).otherwise(TEST))
 
 
 def stratified(df: DataFrame, by: str, keys: list[str], share: float, seed: int = 1) -> DataFrame:
@@ -73,8 +72,14 @@ def folds(df: DataFrame, keys: list[str], k: int = 3, seed: int = 1) -> DataFram
     return df.withColumn("fold", F.pmod(F.conv(F.substring(drawn(seed, *keys), 1, 8), 16, 10).cast("long"), F.lit(k)))
 
 
-def sampled(df: DataFrame, fraction: float, seed: int = 1) -> DataFrame:
-    return df.sample(fraction=fraction, seed=seed)
+def share_of(seed: int, *keys: str) -> Column:
+    """A point in [0, 1) drawn from the keys."""
+    return F.conv(F.substring(drawn(seed, *keys), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def sampled(df: DataFrame, keys: list[str], fraction: float, seed: int = 1) -> DataFrame:
+    """About the fraction of the rows, by a draw from the keys: the same rows however they are partitioned."""
+    return df.where(share_of(seed, *keys) < fraction)
 
 
 def active(log: DataFrame, min_user: int, min_item: int, user: str = "user", item: str = "item") -> DataFrame:
@@ -141,20 +146,28 @@ def negatives(seen: DataFrame, catalogue: DataFrame, n: int, seed: int = 1, user
 def hashed_negatives(positives: DataFrame, items: DataFrame, per_positive: int, keep_out: DataFrame | None = None, seed: int = 1, rounds: int = 4) -> DataFrame:
     """(user, positive, item, k): for each (user, item) of positives, per_positive items that the user has not seen.
 
-    Candidates are drawn by hash from the item numbers, so users never meet the whole catalogue; of the draws of
-    a place, the first that isn't seen stays. Draws beyond `rounds` would be needed for users who saw nearly all.
+    Candidates are drawn by hash from the item numbers, so most users never meet the whole catalogue; of the draws
+    of a place, the first that isn't seen stays. The few places whose draws were all seen draw once more, from the
+    numbered items that their users have not seen. Only a user who has seen everything has none.
     """
     number = items.select(F.col("remap_id").alias("at"), F.col("orig_id").alias("drawn_item"))
     size = number.agg(F.count("*").alias("size"))
-    draws = positives.select("user", F.col("item").alias("positive")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_positive))))
-    draws = draws.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).crossJoin(F.broadcast(size))
-    point = F.conv(F.substring(drawn(seed, "user", "positive", "k", "round"), 1, 12), 16, 10).cast("long")
-    draws = draws.withColumn("at", F.pmod(point, F.col("size"))).join(number, "at")
+    places = positives.select("user", F.col("item").alias("positive")).distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(per_positive))))
+    draws = places.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).crossJoin(F.broadcast(size))
+    point = lambda last: F.conv(F.substring(drawn(seed, "user", "positive", "k", last), 1, 12), 16, 10).cast("long")
+    draws = draws.withColumn("at", F.pmod(point("round"), F.col("size"))).join(number, "at")
     seen = positives.select("user", F.col("item").alias("drawn_item"))
     if keep_out is not None:
         seen = seen.unionByName(keep_out.select("user", F.col("item").alias("drawn_item")))
-    free = draws.join(seen.distinct(), ["user", "drawn_item"], "left_anti")
-    return free.groupBy("user", "positive", "k").agg(F.min_by("drawn_item", "round").alias("item"))
+    seen = seen.distinct()
+    first = draws.join(seen, ["user", "drawn_item"], "left_anti").groupBy("user", "positive", "k").agg(F.min_by("drawn_item", "round").alias("item"))
+    lacking = places.join(first.select("user", "positive", "k"), ["user", "positive", "k"], "left_anti")
+    free = lacking.select("user").distinct().crossJoin(number.select("drawn_item")).join(seen, ["user", "drawn_item"], "left_anti")
+    own = Window.partitionBy("user")
+    free = free.withColumn("at", F.row_number().over(own.orderBy("drawn_item")) - 1).withColumn("size", F.count("*").over(own))
+    sizes = free.where("at = 0").select("user", "size")
+    filled = lacking.join(sizes, "user").withColumn("at", F.pmod(point(F.lit(0)), F.col("size"))).join(free.select("user", "at", F.col("drawn_item").alias("item")), ["user", "at"])
+    return first.unionByName(filled.select("user", "positive", "k", "item"))
 
 
 def activity_groups(log: DataFrame, groups: int = 4, user: str = "user") -> DataFrame:

@@ -36,14 +36,20 @@ def random_floor(recs: DataFrame, truth: DataFrame, seeds: list[int], k: int = 1
 
 
 def by_profile(profiles: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
-    """(alpha, user, item, distance, rank): candidates (id, feature, value) nearest to each profile (alpha, id, feature, value)."""
+    """(alpha, user, item, distance, rank): candidates (id, feature, value) nearest to each profile (alpha, id, feature, value).
+
+    All profiles meet all candidates, also without a common feature. Both travel as maps from feature to value; the k
+    best of a task leave it.
+    """
     from pyspark.sql.window import Window
 
-    n = profiles.groupBy("alpha", "id").agg(F.sum(F.pow("value", F.lit(2.0))).alias("na"))
-    m = candidates.groupBy(F.col("id").alias("item")).agg(F.sum(F.pow("value", F.lit(2.0))).alias("nb"))
-    d = profiles.join(candidates.select(F.col("id").alias("item"), "feature", F.col("value").alias("w")), "feature").groupBy("alpha", "id", "item").agg(F.sum(F.col("value") * F.col("w")).alias("dot"))
-    d = d.join(n, ["alpha", "id"]).join(m, "item")
-    d = d.select("alpha", F.col("id").alias("user"), "item", F.round(F.sqrt(F.greatest(F.col("na") + F.col("nb") - 2 * F.col("dot"), F.lit(0.0))), 6).alias("distance"))
+    square = F.sum(F.pow("value", F.lit(2.0)))
+    as_map = F.map_from_entries(F.collect_list(F.struct("feature", "value")))
+    n = profiles.groupBy("alpha", "id").agg(square.alias("na"), as_map.alias("profile"))
+    m = candidates.groupBy(F.col("id").alias("item")).agg(square.alias("nb"), F.collect_list(F.struct("feature", "value")).alias("features"))
+    d = n.repartition(n.sparkSession.sparkContext.defaultParallelism, "alpha", "id").crossJoin(m)
+    dot = F.aggregate("features", F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.try_element_at("profile", x["feature"]), F.lit(0.0)))
+    d = d.select("alpha", F.col("id").alias("user"), "item", F.round(F.sqrt(F.greatest(F.col("na") + F.col("nb") - 2 * dot, F.lit(0.0))), 6).alias("distance"))
     order = Window.partitionBy("alpha", "user").orderBy("distance", "item")
     return d.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -79,9 +79,9 @@ def kfold_by_user(s, d):
     return longs(S.folds(G.pairs(s, d), ["user"], 3), "fold").groupBy("user", "fold").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""SELECT "user", item FROM pairs WHERE CAST('0x' || substr({DRAW}, 1, 8) AS BIGINT) / 4294967296.0::DOUBLE < 0.25""")
 def row_sample(s, d):
-    return S.sampled(G.pairs(s, d), 0.25)
+    return S.sampled(G.pairs(s, d), ["user", "item"], 0.25)
 
 
 ACTIVE = """a1 AS (SELECT * FROM rat WHERE item IN (SELECT item FROM rat GROUP BY 1 HAVING count(*) >= 30)),
@@ -109,7 +109,7 @@ def split_fold_in(s, d):
     return S.fold_in(G.pairs(s, d))
 
 
-PER_USER = f"""pu AS (SELECT "user", item, CASE WHEN r <= floor(n * 0.8) THEN 2 ELSE 0 END AS dset FROM (SELECT *, count(*) OVER (PARTITION BY "user") AS n, row_number() OVER (PARTITION BY "user" ORDER BY {DRAW}, item) AS r FROM pairs))"""
+PER_USER = f"""pu AS MATERIALIZED (SELECT "user", item, CASE WHEN r <= floor(n * 0.8) THEN 2 ELSE 0 END AS dset FROM (SELECT *, count(*) OVER (PARTITION BY "user") AS n, row_number() OVER (PARTITION BY "user" ORDER BY {DRAW}, item) AS r FROM pairs))"""
 
 
 @query('SELECT "user", item, CAST(dset AS BIGINT) AS dset FROM pu', PER_USER)
@@ -119,7 +119,7 @@ def split_per_user(s, d):
 
 @query('SELECT "user", item FROM pu WHERE dset = 0 AND item IN (SELECT item FROM pu WHERE dset = 2)', PER_USER)
 def held_out_known_items(s, d):
-    p = S.per_user(G.pairs(s, d)).select("user", "item", "dset").persist()
+    p = S.per_user(G.pairs(s, d)).select("user", "item", "dset")
     return S.known_items(p.where("dset = 0"), p.where("dset = 2")).select("user", "item")
 
 
@@ -147,7 +147,11 @@ num AS (SELECT item AS drawn_item, row_number() OVER (ORDER BY item) - 1 AS plac
 dr AS (SELECT "user", item AS positive, k, r FROM pairs, (SELECT unnest(range(1, {n} + 1)) AS k), (SELECT unnest([1, 2, 3, 4]) AS r)),
 pt AS (SELECT *, CAST('0x' || substr(md5(concat_ws('-', '1', CAST("user" AS VARCHAR), CAST(positive AS VARCHAR), CAST(k AS VARCHAR), CAST(r AS VARCHAR))), 1, 12) AS BIGINT) AS x FROM dr),
 free AS (SELECT p."user", positive, k, r, drawn_item FROM pt p JOIN num ON place = x % size WHERE NOT EXISTS (SELECT 1 FROM pairs q WHERE q."user" = p."user" AND q.item = drawn_item)),
-negs AS (SELECT "user", positive, CAST(k AS BIGINT) AS k, arg_min(drawn_item, r) AS item FROM free GROUP BY 1, 2, 3)"""
+picked AS (SELECT "user", positive, k, arg_min(drawn_item, r) AS item FROM free GROUP BY 1, 2, 3),
+lacking AS (SELECT DISTINCT "user", positive, k FROM dr ANTI JOIN picked USING ("user", positive, k)),
+unseen AS (SELECT "user", item, row_number() OVER (PARTITION BY "user" ORDER BY item) - 1 AS place, count(*) OVER (PARTITION BY "user") AS size FROM (SELECT DISTINCT "user" FROM lacking) CROSS JOIN (SELECT item FROM items) ANTI JOIN pairs USING ("user", item)),
+filled AS (SELECT l."user", positive, k, item FROM lacking l JOIN unseen u ON u."user" = l."user" AND place = CAST('0x' || substr(md5(concat_ws('-', '1', CAST(l."user" AS VARCHAR), CAST(positive AS VARCHAR), CAST(k AS VARCHAR), '0')), 1, 12) AS BIGINT) % size),
+negs AS (SELECT "user", positive, CAST(k AS BIGINT) AS k, item FROM picked UNION ALL SELECT "user", positive, CAST(k AS BIGINT), item FROM filled)"""
 
 
 @query('SELECT "user", positive, k, item FROM negs', HASHED.format(n=4))
@@ -343,21 +347,21 @@ def adjacency_rows(s, d):
 
 @query('SELECT "user", item FROM pairs')
 def adjacency_text_round_trip(s, d):
-    path = f"{files.shared_folder(s)}/adjacency"
+    path = files.fresh_folder(s, "adjacency")
     files.write_adjacency(G.pairs(s, d), path)
     return files.read_adjacency(s, path)
 
 
 @query('SELECT "user", item, rating, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS timestamp FROM rat')
 def csv_round_trip(s, d):
-    path = f"{files.shared_folder(s)}/ratings"
+    path = files.fresh_folder(s, "ratings")
     files.write_csv(G.ratings(s, d).select("user", "item", "rating", F.unix_seconds("ts").alias("timestamp")), path)
     return files.read_csv(s, path)
 
 
 @query('SELECT CAST("user" AS VARCHAR) AS "user", CAST(item AS VARCHAR) AS item, rating, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS timestamp FROM rat')
 def json_reviews_round_trip(s, d):
-    path = f"{files.shared_folder(s)}/reviews"
+    path = files.fresh_folder(s, "reviews")
     rows = G.ratings(s, d).select(F.col("user").cast("string").alias("reviewerID"), F.col("item").cast("string").alias("asin"), F.unix_seconds("ts").alias("unixReviewTime"), F.col("rating").alias("overall"))
     rows.write.mode("overwrite").option("compression", "gzip").json(path)
     return files.read_reviews(s, path)
@@ -365,14 +369,14 @@ def json_reviews_round_trip(s, d):
 
 @query('SELECT "user", item FROM pu WHERE dset = 2', PER_USER)
 def split_store_round_trip(s, d):
-    path = f"{files.shared_folder(s)}/splits"
+    path = files.fresh_folder(s, "splits")
     files.write_splits(S.per_user(G.pairs(s, d)), path)
     return s.read.parquet(path).where("dset = 2").select("user", "item")
 
 
 @query('SELECT item AS orig_id, row_number() OVER (ORDER BY item) - 1 AS remap_id FROM items')
 def id_mapping_round_trip(s, d):
-    path = f"{files.shared_folder(s)}/mapping"
+    path = files.fresh_folder(s, "mapping")
     files.write_mapping(catalogue(s, d), path)
     return s.read.schema("orig_id long, remap_id long").option("header", True).option("sep", " ").csv(path)
 
@@ -406,7 +410,7 @@ def svmlight_rows(s, d):
 def libsvm_round_trip(s, d):
     from pyspark.ml.functions import vector_to_array
 
-    path = f"{files.shared_folder(s)}/libsvm"
+    path = files.fresh_folder(s, "libsvm")
     files.write_libsvm(G.items(s, d).withColumn("y", F.col("item") % 2).withColumn("one", F.lit(1)), "y", ["size", "one"], path)
     back = s.read.format("libsvm").option("numFeatures", 2).load(path)
     return back.groupBy("label").agg(F.count("*").alias("n"), F.sum(vector_to_array("features")[0]).alias("total"))

@@ -14,47 +14,42 @@ from tarnflow.sources import given as G
 
 NUMERIC, CATEGORICAL = ["size", "price"], ["brand", "type"]
 
-#: Items of the event log (numbers below 100); every fifth is new.
+#: All items of the catalogue; every fifth is new.
 SMALL = """
-si AS (SELECT * FROM items WHERE item IN (SELECT item FROM ev)),
-lf AS (SELECT item AS id, 'size' AS feature, CAST(size AS DOUBLE) AS value FROM si UNION ALL SELECT item, 'price', price / 100 FROM si UNION ALL SELECT item, 'brand=' || brand, 1.0 FROM si UNION ALL SELECT item, 'type=' || type, 1.0 FROM si),
+lf AS (SELECT item AS id, 'size' AS feature, CAST(size AS DOUBLE) AS value FROM items UNION ALL SELECT item, 'price', price / 100 FROM items UNION ALL SELECT item, 'brand=' || brand, 1.0 FROM items UNION ALL SELECT item, 'type=' || type, 1.0 FROM items),
 nn AS (SELECT id, sum(value * value) AS n FROM lf GROUP BY 1),
-dots AS (SELECT a.id AS a, b.id AS b, sum(a.value * b.value) AS dot FROM lf a JOIN lf b USING (feature) WHERE a.id % 5 = 0 AND b.id % 5 <> 0 GROUP BY 1, 2),
-dist AS (SELECT a, b, 1 - dot / sqrt(x.n * y.n) AS cosine, sqrt(greatest(x.n + y.n - 2 * dot, 0)) AS euclidean FROM dots JOIN nn x ON x.id = a JOIN nn y ON y.id = b)
+both_ AS (SELECT a.item AS a, b.item AS b, CAST(a.size AS DOUBLE) AS sa, CAST(b.size AS DOUBLE) AS sb, a.price / 100 AS pa, b.price / 100 AS pb, CAST(a.brand = b.brand AS INT) + CAST(a.type = b.type AS INT) AS m FROM items a CROSS JOIN items b WHERE a.item % 5 = 0 AND b.item % 5 <> 0),
+dist AS (SELECT a, b, 1 - (m + sa * sb + pa * pb) / sqrt((2 + sa * sa + pa * pa) * (2 + sb * sb + pb * pb)) AS cosine, sqrt(4 - 2 * m + pow(sa - sb, 2) + pow(pa - pb, 2)) AS euclidean FROM both_)
 """
 
 
-def small(s, d):
-    return G.items(s, d).join(G.events(s, d).select("item").distinct(), "item", "left_semi")
-
-
 def vectors(s, d):
-    return Si.long_form(small(s, d).withColumn("price", F.col("price") / 100), "item", NUMERIC, CATEGORICAL)
+    return Si.long_form(G.items(s, d).withColumn("price", F.col("price") / 100), "item", NUMERIC, CATEGORICAL)
 
 
-def sides(s, d):
-    v = vectors(s, d)
-    return v.where("id % 5 = 0"), v.where("id % 5 <> 0")
+def dense(s, d):
+    i = G.items(s, d).withColumn("price", F.col("price") / 100)
+    return Si.dense_distances(i.where("item % 5 = 0"), i.where("item % 5 <> 0"), NUMERIC, CATEGORICAL)
 
 
 @query("SELECT a, b, round(cosine, 6) AS distance FROM dist", SMALL)
 def dist_cosine(s, d):
-    return Si.cosine(*sides(s, d)).withColumn("distance", F.round("distance", 6))
+    return dense(s, d).select("a", "b", F.round("cosine", 6).alias("distance"))
 
 
 @query("SELECT a, b, round(euclidean, 6) AS distance FROM dist", SMALL)
 def dist_euclidean(s, d):
-    return Si.euclidean(*sides(s, d)).withColumn("distance", F.round("distance", 6))
+    return dense(s, d).select("a", "b", F.round("euclidean", 6).alias("distance"))
 
 
 MIXED = SMALL + """,
 mx AS (SELECT a.item AS a, b.item AS b, sqrt(pow(a.size - b.size, 2) + pow((a.price - b.price), 2)) AS e, 1 - m / (4 - m) AS j FROM (
-SELECT a.item AS ai, b.item AS bi, CAST(a.brand = b.brand AS INT) + CAST(a.type = b.type AS DOUBLE) AS m FROM si a, si b WHERE a.item % 5 = 0 AND b.item % 5 <> 0) JOIN si a ON a.item = ai JOIN si b ON b.item = bi),
+SELECT a.item AS ai, b.item AS bi, CAST(a.brand = b.brand AS INT) + CAST(a.type = b.type AS DOUBLE) AS m FROM items a, items b WHERE a.item % 5 = 0 AND b.item % 5 <> 0) JOIN items a ON a.item = ai JOIN items b ON b.item = bi),
 cb AS (SELECT *, (coalesce((e - min(e) OVER w) / nullif(max(e) OVER w - min(e) OVER w, 0), 0) * (max(j) OVER w - min(j) OVER w) + min(j) OVER w + j) / 2 AS c FROM mx WINDOW w AS (PARTITION BY a))"""
 
 
 def mixed(s, d):
-    i = small(s, d)
+    i = G.items(s, d)
     return Si.mixed_distances(i.where("item % 5 = 0"), i.where("item % 5 <> 0"), NUMERIC, CATEGORICAL)
 
 
@@ -105,14 +100,15 @@ def user_profiles(s, d):
 ALPHAS = [0.1, 0.5, 1.0]
 BYP = PROFILE + """,
 pn AS (SELECT alpha, id, sum(value * value) AS na FROM mp GROUP BY 1, 2),
-pdist AS (SELECT alpha, m.id AS "user", l.id AS item, sum(m.value * l.value) AS dot FROM mp m JOIN lf l USING (feature) WHERE l.id % 5 = 0 GROUP BY 1, 2, 3),
+pdot AS (SELECT alpha, m.id AS "user", l.id AS item, sum(m.value * l.value) AS dot FROM mp m JOIN lf l USING (feature) WHERE l.id % 5 = 0 GROUP BY 1, 2, 3),
+pdist AS (SELECT pn.alpha, pn.id AS "user", i.item, coalesce(dot, 0) AS dot FROM pn CROSS JOIN (SELECT item FROM items WHERE item % 5 = 0) i LEFT JOIN pdot ON pdot.alpha = pn.alpha AND pdot."user" = pn.id AND pdot.item = i.item),
 pr AS (SELECT alpha, "user", item, row_number() OVER (PARTITION BY alpha, "user" ORDER BY round(sqrt(greatest(na + n - 2 * dot, 0)), 6), item) AS rank FROM pdist JOIN pn ON pn.id = "user" AND pn.alpha = pdist.alpha JOIN nn ON nn.id = item)"""
 BYP = BYP.replace("SELECT alpha, \"user\", item, row_number() OVER (PARTITION BY alpha,", 'SELECT pdist.alpha, "user", item, row_number() OVER (PARTITION BY pdist.alpha,')
 
 
 def by_profile(s, d):
     a, b = both_profiles(s, d)
-    return R.by_profile(Si.merged_profiles(a, b, ALPHAS), sides(s, d)[0], 10)
+    return R.by_profile(Si.merged_profiles(a, b, ALPHAS), vectors(s, d).where("id % 5 = 0"), 10)
 
 
 @query('SELECT CAST(alpha AS DOUBLE) AS alpha, "user", item, CAST(rank AS BIGINT) AS rank FROM pr WHERE rank <= 10', BYP)

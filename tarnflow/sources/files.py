@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +13,21 @@ RATINGS = "user long, item long, rating double, timestamp long"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where all executors can write and read: the checkpoint folder; a temporary one only where none is named."""
+    """Where all executors can write and read: the checkpoint folder. A temporary one stands in on one machine only, as in tests."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="shared-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="shared-"))
     return context.getCheckpointDir()
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing was written to before."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
     """(user, item, rating, timestamp) of JSON lines, also gzipped."""
     return spark.read.schema(REVIEWS).json(path).select(F.col("reviewerID").alias("user"), F.col("asin").alias("item"), F.col("overall").alias("rating"), F.col("unixReviewTime").alias("timestamp"))

@@ -46,6 +46,34 @@ def test_negatives_are_never_seen(spark, log):
     assert not pairs_of(h) & seen and h.count() > 0.95 * 4 * len(seen)
 
 
+def test_negatives_of_users_who_have_seen_nearly_all(spark):
+    items = spark.range(100).withColumnRenamed("id", "item")
+    log = spark.createDataFrame([(1, i) for i in range(99)] + [(2, i) for i in range(100)] + [(3, 5)], "user long, item long")
+    rows = S.hashed_negatives(log, E.contiguous_ids(items, "item"), 4).collect()
+    assert len(rows) == len({(r.user, r.positive, r.k) for r in rows}) == 99 * 4 + 4
+    assert {r.item for r in rows if r.user == 1} == {99} and all(r.item != 5 for r in rows if r.user == 3)
+
+
+def test_distances_of_all_pairs(spark):
+    rows = [(1, 0, 0.0, "a", "x"), (2, 0, 0.0, "b", "y"), (3, 3, 4.0, "a", "y"), (4, 3, 4.0, None, "x")]
+    df = spark.createDataFrame(rows, "item long, size long, price double, brand string, type string")
+    got = {(r.a, r.b): r for r in Si.dense_distances(df, df, ["size", "price"], ["brand", "type"]).collect()}
+    v = {}
+    for i, size, price, brand, kind in rows:
+        v[i] = np.array([size, price, brand == "a", brand == "b", kind == "x", kind == "y"], float)
+    assert set(got) == {(i, j) for i in v for j in v}
+    for (i, j), r in got.items():
+        assert r.cosine == pytest.approx(1 - v[i] @ v[j] / np.linalg.norm(v[i]) / np.linalg.norm(v[j]), abs=1e-12)
+        assert r.euclidean == pytest.approx(np.linalg.norm(v[i] - v[j]), abs=1e-12)
+    assert got[1, 2].cosine == 1.0
+
+
+def test_profiles_meet_candidates_without_a_common_feature(spark):
+    profiles = spark.createDataFrame([(1.0, 7, "a", 1.0)], "alpha double, id long, feature string, value double")
+    candidates = spark.createDataFrame([(1, "b", 2.0), (2, "a", 1.0)], "id long, feature string, value double")
+    assert [(r.user, r.item, r.distance, r["rank"]) for r in R.by_profile(profiles, candidates, 10).orderBy("rank").collect()] == [(7, 2, 0.0, 1), (7, 1, 2.236068, 2)]
+
+
 def test_activity_filter_runs_once(spark):
     rows = [(1, 1), (1, 2), (2, 1), (3, 3), (3, 1)]
     left = pairs_of(S.active(spark.createDataFrame(rows, "user long, item long"), 2, 2))
