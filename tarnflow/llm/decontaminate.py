@@ -2,8 +2,9 @@
 
 Spaced seeds: windows of tokens are hashed under fixed masks, each of which ignores some places, so
 a seed still matches where a replaced word falls on an ignored place. Items and documents are hashed at
-each place; equal hashes join. Around a hit the item's tokens are compared with
-the document's at the same offset. Any stretch of which enough tokens are the item's counts as contamination;
+each place; equal hashes join. Items shorter than any mask have one seed, all of their tokens. Around a hit
+the item's tokens are compared with the document's at the same offset: a document's hits are verified
+together, in parts of bounded size, each on the slice of the document's tokens that it needs. Any stretch of which enough tokens are the item's counts as contamination;
 the best-scored of them, at +1 for a kept and -2 for a replaced token, is reported.
 """
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tarnflow.llm.shared import checkpointed
 from tarnflow.llm.tables import table
 
-#: Tokens of the shortest item, and of the longest window. However the replaced tokens lie, a stretch of MIN_TOKENS kept ones and
+#: Tokens of the longest window, and of the shortest item that masks are for. However the replaced tokens lie, a stretch of MIN_TOKENS kept ones and
 #: MIN_SHARE holds a window that one of the masks accepts; a test walks through all stretches.
 SPAN = 8
 MASKS = ("1111101", "11001111", "10110111")
@@ -23,11 +24,13 @@ MASKS = ("1111101", "11001111", "10110111")
 MIN_TOKENS, MIN_SHARE = 13, 0.8
 #: Rows up to which a side is broadcast: at most 32 bytes each for seeds and candidates.
 BROADCAST_ROWS = 200_000
+#: Offsets in a document whose hits are verified in one row.
+OFFSETS = 2048
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits, lower-cased; an empty one may stand at either end."""
-    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    """Runs of letters and digits, lower-cased; an empty one may stand at the end."""
+    return F.split(F.regexp_replace(F.lower(text), r"\A[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}]+")
 
 
 def hashed(words: Column) -> Column:
@@ -52,6 +55,17 @@ def _exploded(df: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "at", F.explode(F.array(*[F.col(f"h{m}") for m in range(len(MASKS))])).alias("h")).where("h is not null")
 
 
+def _whole(words: Column, n: int) -> Column:
+    """Hash of n tokens as the one seed of an item."""
+    return F.xxhash64(F.lit(f"whole {n}"), *[F.get(words, F.lit(i)) for i in range(n)])
+
+
+def _runs(df: DataFrame, key: str, n: int) -> DataFrame:
+    """(key, at, h): a row for each run of n tokens."""
+    of = lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(f"whole {n}"), *[F.get("w", i + o) for o in range(n)]).alias("h"))
+    return df.where(F.size("w") >= n).select(key, F.inline(F.transform(F.sequence(F.lit(0), F.size("w") - n), of)))
+
+
 def _small(df: DataFrame) -> DataFrame:
     """A written table, to be broadcast if it has few enough rows."""
     df = checkpointed(df)
@@ -103,24 +117,37 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
     An overlap is any stretch at one offset that is enough; of an offset's overlaps the best-scored counts, of all offsets' the one with the most tokens kept.
 
-    Documents without an overlap have no row. Null and empty texts overlap nothing; nor do items of fewer than
-    SPAN tokens. Repeated documents and items give one row together. Null ids are ids like others. Either table
-    may be empty.
+    Documents without an overlap have no row. Null and empty texts overlap nothing. Items of fewer than SPAN tokens
+    are overlapped only by all of their tokens in a row; items without tokens by nothing. Repeated documents and
+    items give one row together; of rows with one id and different texts, any may overlap. Null ids are ids like
+    others, extra columns are left out, and either table may be empty. Of equally good overlaps the first in the
+    document counts.
     """
     bench = items.select(F.col(item_id).alias("item_id"), F.filter(tokens(F.col(item_text)), lambda w: w != "").alias("w"))
-    bench = bench.where(F.size("w") >= SPAN).select("item_id", hashed(F.col("w")).alias("w"))
-    bench = _small(bench.distinct())
-    marks = _small(_exploded(bench, "item_id").select("h", "item_id", F.col("at").alias("place")).distinct())
+    bench = _small(bench.where(F.size("w") > 0).select("item_id", hashed(F.col("w")).alias("w")).distinct())
+    short = sorted(r.n for r in bench.where(F.size("w") < SPAN).select(F.size("w").alias("n")).distinct().collect())
+    number = F.size("w").alias("n")
+    marks = _exploded(bench.where(F.size("w") >= SPAN).withColumn("item", F.struct("item_id", number)), "item").select("h", "item", F.col("at").alias("place"))
+    for n in short:
+        marks = marks.unionByName(bench.where(F.size("w") == n).select(_whole(F.col("w"), n).alias("h"), F.struct("item_id", number).alias("item"), F.lit(0).alias("place")))
+    marks = _small(marks.select("h", "item.item_id", "item.n", "place").distinct())
 
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    windows = _exploded(read.select("doc_id", hashed(tokens(F.col("text"))).alias("w")), "doc_id")
-    hits = windows.join(marks, "h").select("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")).distinct()
-    hits = _small(hits)
-
-    pairs = read.join(hits.withColumnRenamed("doc_id", "hit_id"), F.col("doc_id").eqNullSafe(F.col("hit_id"))).drop("hit_id")
-    pairs = pairs.select("doc_id", "item_id", "shift", hashed(tokens(F.col("text"))).alias("d"))
+    words = read.select("doc_id", hashed(tokens(F.col("text"))).alias("w"))
+    windows = _exploded(words, "doc_id")
+    for n in short:
+        windows = windows.unionByName(_runs(words, "doc_id", n))
+    hits = windows.join(marks, "h").select("doc_id", "item_id", "n", (F.col("at") - F.col("place")).alias("shift")).distinct()
+    hits = hits.groupBy("doc_id", F.floor(F.col("shift") / OFFSETS).alias("part"), F.floor(F.xxhash64("item_id") % 64).alias("share")).agg(F.collect_list(F.struct("item_id", "n", "shift")).alias("hits"))
+    hits = _small(hits.select(F.col("doc_id").alias("hit_id"), "hits"))
+
+    # Exploding one row keeps the tokens from being hashed anew for each hit.
+    met = read.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id"))).select("doc_id", "hits", F.explode(F.array(hashed(tokens(F.col("text"))))).alias("d"))
+    lead = lambda h: F.greatest(-h["shift"], F.lit(0))
+    own = lambda h: F.slice("d", F.greatest(h["shift"], F.lit(0)) + 1, F.greatest(h["n"] - lead(h), F.lit(0)))
+    pairs = met.select("doc_id", F.inline(F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), h["shift"].alias("shift"), lead(h).alias("lead"), own(h).alias("d")))))
     pairs = pairs.join(bench.select(F.col("item_id").alias("bench_id"), "w"), F.col("item_id").eqNullSafe(F.col("bench_id"))).drop("bench_id")
-    same = F.transform("w", lambda x, i: F.coalesce(F.get("d", F.when(i + F.col("shift") >= 0, i + F.col("shift"))) == x, F.lit(False)))
+    same = F.transform("w", lambda x, i: F.coalesce(F.get("d", F.when(i >= F.col("lead"), i - F.col("lead"))) == x, F.lit(False)))
     pairs = pairs.select("doc_id", "item_id", "shift", F.size("w").alias("n_item_tokens"), same.alias("same"))
     found = pairs.select("*", best_stretch(F.col("same")).alias("s"))
     passes = enough(F.col("s.most"), F.col("s.to") - F.col("s.from"), F.col("n_item_tokens"))

@@ -59,10 +59,24 @@ def test_decontamination_edge_cases(spark):
     bench = spark.createDataFrame([(1, fifteen), (1, fifteen), (2, "a b c"), (None, None)], "item_id long, text string")
     docs = spark.createDataFrame([(1, f"x {fifteen} y"), (1, f"x {fifteen} y"), (None, fifteen), (3, None), (4, ""), (5, "a b c")], "doc_id long, text string")
     rows = sorted(((r.doc_id, r.item_id, r.token_start, r.token_end) for r in contaminated(docs, bench).collect()), key=str)
-    assert rows == sorted([(1, 1, 1, 16), (None, 1, 0, 15)], key=str)
+    assert rows == sorted([(1, 1, 1, 16), (None, 1, 0, 15), (5, 2, 0, 3)], key=str)
     assert contaminated(docs.limit(0), bench).count() == 0 and contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_places_and_extra_columns(spark):
+    items = spark.createDataFrame([(1, "Red  green, blue!", 0), (2, "one", 0), (3, "a b c d e f g", 0), (4, "?!", 0), (5, "b c d e f g h i", 0)], "item_id long, text string, doc_id int")
+    docs = spark.createDataFrame([(1, "« red green blue »", "x"), (2, "red blue green", "x"), (3, "(one) and one", "x"), (4, "a b c d e f g h i", "x"), (5, "a b c d X f g", "x")], "doc_id long, text string, item_id string")
+    got = {(r.doc_id, r.item_id): (r.token_start, r.token_end, r.n_kept, r.n_item_tokens) for r in contaminated(docs, items).collect()}
+    assert got == {(1, 1): (0, 3, 3, 3), (3, 2): (0, 1, 1, 1), (4, 3): (0, 7, 7, 7), (4, 5): (1, 9, 8, 8)}
+
+
+def test_a_long_text_of_one_word_and_ties(spark):
+    docs = spark.createDataFrame([(1, "la " * 60_000), (2, "x " + "la " * 40)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "la " * 20), (2, "la " * 3)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.token_start, r.token_end) for r in contaminated(docs, items).collect()}
+    assert got == {(1, 1): (0, 20), (1, 2): (0, 3), (2, 1): (1, 21), (2, 2): (1, 4)}
+
+
 def brute_enough(doc, item):
     """Tokens kept in the best-scored stretch that is enough, at the offset where that keeps most; 0 if none is."""
     most = 0
