@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -38,7 +38,7 @@ BITS = 60
 #: Words in the dictionary of frequent ones, each of DICTIONARY_CHARS at most; every so manieth document is read for it.
 DICTIONARY_WORDS, DICTIONARY_CHARS, DICTIONARY_EVERY = 1 << 18, 24, 16
 #: Bytes of text in a block, but for the last text of a block, which is whole.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 6_000_000
 #: A piece table of more rows isn't broadcast.
 MOST_PIECES = 1 << 20
 #: What an unknown code point scores below the least piece.
@@ -224,7 +224,8 @@ class Words:
     """Chunks and words of texts. The words of a chunk are those of its text wherever it stands."""
 
     def __init__(self, word: str, pairs: frozenset[str]):
-        self.word, self.pairs = re.compile(word), pairs
+        self.word, self.pairs, self.starts = re.compile(word), pairs, ("\n", BLANK)
+        self.marks = frozenset(c for c in PUNCTUATION if self.word.findall(f"{BLANK}a{c}") == [f"{BLANK}a", c])
 
     @staticmethod
     def chunks(text: str | None) -> list[str]:
@@ -233,8 +234,14 @@ class Words:
             return []
         return CHUNK.findall(BLANK + text.replace(" ", BLANK)) if text[0] == " " or "  " in text or BLANK in text else text.replace("\n", " \n").split(" ")
 
-    def of(self, chunk: str) -> list[str]:
-        words = self.word.findall(chunk if chunk[:1] in ("\n", BLANK) and chunk else BLANK + chunk)
+    def of(self, chunk: str) -> list[str] | tuple[str, ...]:
+        if len(chunk) < BITS:
+            # Letters alone, or with one mark that begins a word behind them, need no pattern.
+            if chunk.isalpha():
+                return (BLANK + chunk,)
+            if chunk[:-1].isalpha() and chunk[-1] in self.marks:
+                return BLANK + chunk[:-1], chunk[-1]
+        words = self.word.findall(chunk if chunk and chunk[0] in self.starts else BLANK + chunk)
         return words if len(chunk) < BITS else [x for w in words for x in (self.cut(w) if len(w) >= BITS else (w,))]
 
     def cut(self, word: str) -> list[str]:
@@ -242,22 +249,16 @@ class Words:
         at = [0, *(i + 1 for i, (a, b) in enumerate(pairwise(word)) if a + b not in self.pairs), len(word)]
         return [word[a:b] for a, b in pairwise(at)]
 
-    def of_block(self, texts: list[str | None]) -> list[str]:
-        """Different words of some texts, sorted."""
-        chunks: set[str] = set()
-        for t in texts:
-            chunks.update(self.chunks(t))
-        words: set[str] = set()
-        for c in chunks:
-            words.update(self.of(c))
-        return sorted(words)
+    def of_block(self, texts: list[str | None]) -> dict[str, list[str] | tuple[str, ...]]:
+        """Words of each different chunk of some texts, in the order of the texts."""
+        return {c: self.of(c) for c in dict.fromkeys(chain.from_iterable(map(self.chunks, texts)))}
 
 
 def _joined(texts: list[str | None]) -> bytes:
     """Texts as one compressed string, each behind its length; null is -1."""
     raw = [t.encode() if t is not None else None for t in texts]
     lengths = np.array([-1 if r is None else len(r) for r in raw], "<i8")
-    return zstandard.ZstdCompressor(level=3).compress(lengths.tobytes() + b"".join(r for r in raw if r))
+    return zstandard.ZstdCompressor(level=6).compress(lengths.tobytes() + b"".join(r for r in raw if r))
 
 
 def _parted(packed: bytes, n: int) -> list[str | None]:
@@ -300,12 +301,12 @@ class Dictionary:
     def __init__(self, words: pa.Array, ids: pa.Array):
         self.words, self.ids = words, ids
 
-    def split(self, words: list[str]) -> tuple[list[str], dict[str, bytes]]:
-        """(words that aren't here, ids of those that are)."""
-        at = pc.index_in(pa.array(words, pa.string()), value_set=self.words).to_numpy(zero_copy_only=False)
-        known = ~np.isnan(at) if at.dtype.kind == "f" else np.ones(len(at), bool)
-        ids = self.ids.take(pa.array(at[known].astype(np.int64)))
-        return [w for w, k in zip(words, known, strict=True) if not k], dict(zip([w for w, k in zip(words, known, strict=True) if k], _id_bytes(ids), strict=True))
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where each word is; -1 if it isn't."""
+        return pc.fill_null(pc.index_in(pa.array(words, pa.string()), value_set=self.words), -1).to_numpy()
+
+    def of(self, places: np.ndarray) -> list[bytes]:
+        return _id_bytes(self.ids.take(pa.array(places)))
 
 
 def _id_bytes(lists: pa.ListArray) -> list[bytes]:
@@ -313,17 +314,6 @@ def _id_bytes(lists: pa.ListArray) -> list[bytes]:
     return [raw[4 * a : 4 * b] for a, b in pairwise(ends)]
 
 
-class Assembler(dict):
-    """Ids of chunks, put together from those of their words when first asked for."""
-
-    def __init__(self, words: Words, ids: dict[str, bytes]):
-        self.words, self.ids = words, ids
-
-    def __missing__(self, chunk: str) -> bytes:
-        self[chunk] = out = b"".join(map(self.ids.__getitem__, self.words.of(chunk)))
-        return out
-
-
 def _with_ids(solved: DataFrame, model: Model) -> DataFrame:
     """(w, ids binary): unknown code points become their bytes."""
     by_byte = F.create_map(*[F.lit(x) for k, v in sorted(model.bytes.items()) for x in (f"{k:02X}", v)]) if model.bytes else None
@@ -362,29 +352,37 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
 
     dealt = in_blocks(read).repartition("block")
 
+    def parted(words: Words, texts: bytes, n: int) -> tuple[list[str | None], dict, list[str], np.ndarray]:
+        """(texts, words by chunk, different words, their places in the dictionary) of a block; words are in the same order whenever a block is read."""
+        texts = _parted(texts, n)
+        by_chunk = words.of_block(texts)
+        own = list(dict.fromkeys(chain.from_iterable(by_chunk.values())))
+        return texts, by_chunk, own, at_hand.value.places(own)
+
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, have = Words(word, pairs), at_hand.value
+        words = Words(word, pairs)
         for batch in batches:
             for block, ids, packed in zip(*(batch.column(c) for c in ("block", "doc_ids", "texts")), strict=True):
-                new, _ = have.split(words.of_block(_parted(packed.as_py(), len(ids))))
+                _, _, own, places = parted(words, packed.as_py(), len(ids))
+                new = [own[i] for i in np.flatnonzero(places < 0).tolist()]
                 for at in range(0, len(new), 10_000):
                     n = len(new[at : at + 10_000])
                     yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * n, pa.int64()), pa.array(range(at, at + n), pa.int32()), pa.array(new[at : at + n], pa.string())], ["block", "at", "w"])
 
     need = dealt.mapInArrow(asked, "block long, at int, w string").repartition("w")
-    # Places are never negative: both uses of need so stay the same for Spark, and words are asked for once.
-    rare = _with_ids(lattice(need.groupBy("w").agg(F.min("at").alias("at")).where("at >= 0").select("w"), pieces, spec), spec)
+    # Reading every column, and leaving nothing out, keeps both uses of need the same for Spark, so words are asked for once.
+    distinct = need.groupBy("w").agg(F.min("block").alias("block"), F.min("at").alias("at")).where("block >= 0 and at >= 0").select("w")
+    rare = _with_ids(lattice(distinct, pieces, spec), spec)
     answers = need.join(rare, "w").select("block", "at", "ids")
 
     def assembled(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        words = Words(word, pairs)
         ids = blocks.column("doc_ids").combine_chunks().flatten()
-        texts = _parted(blocks.column("texts")[0].as_py(), len(ids))
-        new, known = at_hand.value.split(words.of_block(texts))
+        texts, by_chunk, own, places = parted(words := Words(word, pairs), blocks.column("texts")[0].as_py(), len(ids))
         order = np.argsort(answers.column("at").to_numpy())
-        known.update(zip(new, _id_bytes(answers.column("ids").combine_chunks().take(pa.array(order))), strict=True))
-        found = Assembler(words, known)
-        out = [b"".join(map(found.__getitem__, words.chunks(t))) for t in texts]
+        known = dict(zip([own[i] for i in np.flatnonzero(places < 0).tolist()], _id_bytes(answers.column("ids").combine_chunks().take(pa.array(order))), strict=True))
+        known.update(zip([own[i] for i in np.flatnonzero(places >= 0).tolist()], at_hand.value.of(places[places >= 0]), strict=True))
+        of = {c: known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w]) for c, w in by_chunk.items()}
+        out = [b"".join(map(of.__getitem__, words.chunks(t))) for t in texts]
         ends = np.cumsum([0, *(len(x) // 4 for x in out)])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
         return pa.Table.from_arrays([ids, lists], ["doc_id", "ids"])
