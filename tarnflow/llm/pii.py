@@ -3,7 +3,8 @@
 Regular expressions propose spans, checksums (Luhn, mod 97) and range tests confirm them, and words
 near a span raise its score. Positions come from ``split`` and ``regexp_extract_all`` with one
 pattern: gap and match lengths alternate and add up to the text, so a running sum gives each start.
-Offsets are code points, the end is exclusive.
+Sums run over shares of MATCHES matches, so the work of a text grows with its matches, not with their
+square. Offsets are code points, the end is exclusive.
 
 Patterns use possessive quantifiers and fixed left bounds. They match what the plain greedy patterns
 match, but Java neither recurses nor rescans on long runs of one class.
@@ -54,6 +55,22 @@ KINDS = (
 )
 BASE_KINDS = ("email", "ip", "card", "phone")
 NEAR = 40
+#: Matches of a text that are added up, or replaced, one after the other.
+MATCHES = 128
+
+
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _shares(values: Column) -> Column:
+    """Numbers of the shares of a list that isn't empty."""
+    return F.sequence(F.lit(0), F.floor((F.size(values) - 1) / MATCHES).cast("int"))
+
+
+def _share(values: Column, n: Column) -> Column:
+    return F.slice(values, n * MATCHES + 1, F.lit(MATCHES))
 
 
 def _digits(c: Column) -> Column:
@@ -102,28 +119,32 @@ def _confirmed(kind: str, value: Column) -> Column:
 
 def kind_spans(text: Column, kind: Kind) -> Column:
     """Confirmed spans of one kind in a text, by start."""
-    gaps, found = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    empty = F.array().cast(SPAN)
     word = F.lit("(?i)" + kind.words)
-    # One pass: the running position is the sum of all gaps and matches before.
-    walked = F.aggregate(
-        F.arrays_zip(found.alias("m"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"), F.slice(gaps, F.lit(2), F.size(found)).alias("h")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.array_append(
-                acc["spans"],
-                F.struct(
-                    F.lit(kind.name).alias("kind"),
-                    (acc["at"] + F.length(x["g"])).alias("start"),
-                    (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"),
-                    F.when(F.regexp_like(F.right(x["g"], F.lit(NEAR)), word) | F.regexp_like(F.substring(x["h"], 1, NEAR // 2), word), F.lit(1.0)).otherwise(F.lit(kind.base)).alias("score"),
-                    x["m"].alias("value"),
-                ),
-            ).alias("spans"),
-        ),
-    )["spans"]
-    kept = F.filter(walked, lambda s: _confirmed(kind.name, s["value"]) & (s["score"] >= 1.0 if kind.needs_word else F.lit(True)))
-    return F.when(text.rlike(kind.needs), kept).otherwise(F.array().cast(SPAN))
+    plus = lambda a, x: a + x
+
+    def steps(x: Column) -> Column:
+        step = F.zip_with(x["found"], F.slice(x["gaps"], F.lit(1), F.size(x["found"])), lambda m, g: F.length(m) + F.length(g))
+        return F.when(F.size(x["found"]) > 0, let(F.struct(x["gaps"].alias("gaps"), x["found"].alias("found"), step.alias("step")), sums)).otherwise(empty)
+
+    def sums(x: Column) -> Column:
+        by_share = F.transform(_shares(x["step"]), lambda n: F.aggregate(_share(x["step"], n), F.lit(0), plus))
+        before = F.aggregate(by_share, F.array(F.lit(0)), lambda acc, s: F.array_append(acc, F.element_at(acc, -1) + s))
+        return let(F.struct(x["gaps"].alias("gaps"), x["found"].alias("found"), x["step"].alias("step"), before.alias("before")), located)
+
+    def located(x: Column) -> Column:
+        def span(m: Column, i: Column) -> Column:
+            at = F.get(x["before"], F.floor(i / MATCHES).cast("int")) + F.aggregate(F.slice(x["step"], i - i % MATCHES + 1, i % MATCHES), F.lit(0), plus)
+            g, h = F.get(x["gaps"], i), F.get(x["gaps"], i + 1)
+            near = F.regexp_like(F.right(g, F.lit(NEAR)), word) | F.regexp_like(F.substring(h, 1, NEAR // 2), word)
+            score = F.when(near, F.lit(1.0)).otherwise(F.lit(kind.base))
+            whole = lambda start: F.struct(F.lit(kind.name).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), score.alias("score"), m.alias("value"))
+            return let(at + F.length(g), whole)
+
+        return F.filter(F.transform(x["found"], span), lambda s: _confirmed(kind.name, s["value"]) & (s["score"] >= 1.0 if kind.needs_word else F.lit(True)))
+
+    cut = F.struct(F.split(text, kind.pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("found"))
+    return F.when(text.rlike(kind.needs), let(cut, steps)).otherwise(empty)
 
 
 def with_spans(df: DataFrame, text: str = "text", out: str = "pii", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -145,26 +166,32 @@ def with_spans(df: DataFrame, text: str = "text", out: str = "pii", kinds: tuple
 def redact(df: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """df with each span replaced by <KIND>; overlapping spans become one, named after the first. A null text stays null."""
     tmp = "__pii"
-    ordered = F.array_sort(
-        F.transform(F.col(tmp), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
-    )
-    state = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(
-            F.struct(
-                s["end"].alias("at"),
-                F.when(
-                    s["start"] < acc["at"], acc["parts"]
-                ).otherwise(
-                    F.concat(acc["parts"], F.array(F.substr(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
-                ).alias("parts"),
-            )
-        ),
-    )
-    made = with_spans(df, text, tmp, kinds).withColumn("__state", F.when(F.size(tmp) > 0, state))
-    whole = F.concat(F.array_join(F.col("__state.parts"), ""), F.substr(F.col(text), F.col("__state.at") + 1))
-    return made.withColumn(text, F.when(F.col("__state").isNull(), F.col(text)).otherwise(whole)).drop(tmp, "__state")
+    ordered = F.array_sort(F.transform(F.col(tmp), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+    def ends(spans: Column) -> Column:
+        """Where the text is done before each share of the spans, and at the end."""
+        last = F.transform(_shares(spans), lambda n: F.array_max(F.transform(_share(spans, n), lambda s: s["end"])))
+        done = F.aggregate(last, F.array(F.lit(0)), lambda acc, e: F.array_append(acc, F.greatest(F.element_at(acc, -1), e)))
+        return let(F.struct(spans.alias("spans"), done.alias("done")), whole)
+
+    def whole(x: Column) -> Column:
+        parts = F.transform(_shares(x["spans"]), lambda n: let(F.struct(F.get(x["done"], n).alias("at"), F.get(x["done"], n + 1).alias("to"), _share(x["spans"], n).alias("spans")), share))
+        return F.concat(F.array_join(parts, ""), F.substr(F.col(text), F.element_at(x["done"], -1) + 1))
+
+    def share(x: Column) -> Column:
+        return let(F.struct(x["at"].alias("from"), F.substr(F.col(text), x["at"] + 1, x["to"] - x["at"]).alias("text"), x["spans"].alias("spans")), replaced)
+
+    def replaced(x: Column) -> Column:
+        def step(acc: Column, s: Column) -> Column:
+            put = F.array(F.substr(x["text"], acc["at"] - x["from"] + 1, s["start"] - acc["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+            parts = F.when(s["start"] < acc["at"], acc["parts"]).otherwise(F.concat(acc["parts"], put))
+            return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(s["end"].alias("at"), parts.alias("parts")))
+
+        start = F.struct(x["from"].alias("at"), F.array().cast("array<string>").alias("parts"))
+        return F.array_join(F.aggregate(x["spans"], start, step)["parts"], "")
+
+    made = with_spans(df, text, tmp, kinds)
+    return made.withColumn(text, F.when(F.size(tmp) > 0, let(ordered, ends)).otherwise(F.col(text))).drop(tmp)
 
 
 def joined(spans: Column) -> Column:

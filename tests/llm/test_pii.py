@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarnflow.llm.pii import BASE_KINDS, joined, mod97_ok, op1_pii, redact, with_spans
 
@@ -70,6 +71,36 @@ def test_redaction(spark):
     assert {r.doc_id: r.text for r in redact(df).collect()} == {1: "mail <EMAIL> and <IP>!", 2: None, 3: "clean", 4: ""}
 
 
+def plain_redaction(text, spans):
+    out, at = [], 0
+    for start, end, kind in sorted(spans):
+        if end > at:
+            if start >= at:
+                out += [text[at:start], f"<{kind.upper()}>"]
+            at = end
+    return "".join(out) + text[at:]
+
+
+def test_texts_with_very_many_matches(spark):
+    many = " ".join(f"a{i}@b.cc é +1 234 567 {1000 + i % 9000}" for i in range(4000))
+    texts = [many, "x@y.zz " * 128, "x@y.zz " * 129, "+1.2.3.4 5678 90 " * 300, " 1.2.3.4@x.yy,1.2.3.4" * 140]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r.pii] for r in with_spans(df).collect()}
+    out = {r.doc_id: r.text for r in redact(df).collect()}
+    for i, t in enumerate(texts):
+        assert [s for s in found[i] if s[0] in BASE_KINDS] == brute(t)
+        assert out[i] == plain_redaction(t, [(a, b, k) for k, a, b in found[i]])
+
+
+def test_work_grows_with_the_matches(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "name@host.org " * 32_000)], "doc_id long, text string")
+    began = time.time()
+    assert with_spans(df).select(F.size("pii")).first()[0] == 32_000 and redact(df).first().text == "<EMAIL> " * 32_000
+    assert time.time() - began < 30
+
+
 def test_extra_columns_repeats_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "x@y.zz", "a"), (1, "x@y.zz", "a")], "doc_id long, text string, pii string")
     assert [len(r.pii) for r in with_spans(df).collect()] == [1, 1]
