@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -57,9 +58,9 @@ AMBIGUOUS = frozenset("notice notices alert discussion disclaimer consent gdpr f
 #: Names that tell a state of an element or what else the page has.
 STATE = re.compile(r"(?:has|have|no|not|non|with|without|is|hide|show|enable|disable|supports|allow|can)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled|active|inactive|visible|on|off|true|false)")
 WHOLE = frozenset("html body main".split())
-TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S
-)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag: quoted values may hold its end sign.
+REST = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 
@@ -92,50 +93,86 @@ def marks_of(attributes: str, marks: frozenset[str], within: bool) -> frozenset[
     return frozenset(found)
 
 
+def pieces_of(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """(text before, name, attributes, end) of each tag, names of closing tags behind a slash; comments and declarations have no name. The last one is the text behind all tags.
+
+    Each place is looked at a bounded number of times: a tag without an end sign behind it is text.
+    """
+    pos = at = 0
+    last = page.rfind(">")
+    end = len(page)
+    while 0 <= (start := page.find("<", at)):
+        if page.startswith("<!--", start):
+            stop = page.find("-->", start + 4)
+            stop = end if stop < 0 else stop + 3
+            yield page[pos:start], "", "", stop
+        elif start > last:
+            break
+        elif page[start + 1 : start + 2] in ("!", "?"):
+            stop = page.find(">", start) + 1
+            yield page[pos:start], "", "", stop
+        elif m := NAME.match(page, start + 1):
+            rest = REST.match(page, m.end())
+            stop = rest.end() if rest else page.find(">", m.end()) + 1
+            yield page[pos:start], (m[1] + m[2]).lower(), rest[1] if rest else page[m.end() : stop - 1], stop
+            name = m[2].lower()
+            if name in RAW and not m[1]:
+                # What such an element holds is no markup; its closing tag ends it.
+                close = re.compile(f"</{name}", re.I).search(page, stop)
+                stop = (page.find(">", close.start()) + 1 or end) if close else end
+        else:
+            at = start + 1
+            continue
+        pos = at = stop
+    yield page[pos:], "", "", end
+
+
 def tree(page: str) -> Node:
     """The page's elements without those that are dropped or hidden, each with its marks. Text pieces stand decoded between them."""
     root = at = Node("#root", None)
     skipped: list[str] = []  # the open elements from one that is left out
-    pos, end = 0, len(page)
-    lower = None
-    for m in iter(lambda: TAG.search(page, pos), None):
-        if m.start() > pos and not skipped:
-            at.inside.append(html.unescape(page[pos : m.start()]))
-        pos = m.end()
-        name = (m[2] or m[5] or "").lower()
+    inside: Counter[str] = Counter()  # their number by name
+    opened: Counter[str] = Counter()  # number of open elements by name
+
+    def up_to(node: Node) -> None:
+        """Closes elements until the node is the innermost open one."""
+        nonlocal at
+        while at is not node:
+            opened[at.tag] -= 1
+            at = at.parent
+
+    for text, name, attributes, _ in pieces_of(page):
+        if text and not skipped:
+            at.inside.append(html.unescape(text))
         if not name:
             continue
-        attributes = m[3] or m[6] or ""
-        if m[1] or m[4]:
+        if name[0] == "/":
+            name = name[1:]
             if skipped:
-                if name in skipped:
-                    while skipped.pop() != name:
-                        pass
-                elif name in ("body", "html", "article", "main"):  # what was left open ends here
-                    up = at
-                    while up is not root and up.tag != name:
-                        up = up.parent
-                    if up is not root:
-                        skipped, at = [], up.parent
+                if inside[name]:
+                    while (popped := skipped.pop()) != name:
+                        inside[popped] -= 1
+                    inside[name] -= 1
+                elif name in WHOLE or name == "article":  # what was left open ends here
+                    if opened[name]:
+                        skipped, inside = [], Counter()
+                        while at.tag != name:
+                            up_to(at.parent)
+                        up_to(at.parent)
                 continue
-            up = at
-            while up is not root and up.tag != name:
-                up = up.parent
-            if up is not root:
-                at = up.parent
+            if opened[name]:
+                while at.tag != name:
+                    up_to(at.parent)
+                up_to(at.parent)
             elif name in ("p", "br"):
                 at.inside.append(Node(name, at))
             continue
         if name in RAW:
-            lower = lower or page.lower()
-            stop = lower.find(f"</{name}", pos)
-            pos = end if stop < 0 else (page.find(">", stop) + 1 or end)
             continue
         if skipped:
             if name not in VOID and not attributes.endswith("/"):
                 skipped.append(name)
-            elif name not in VOID:
-                pass
+                inside[name] += 1
             continue
         if name in VOID:
             if name in ("br", "hr"):
@@ -143,29 +180,31 @@ def tree(page: str) -> Node:
             continue
         if name in CLOSES:
             ends, bounds = CLOSES[name]
-            up = at
-            while up is not root and up.tag not in bounds:
-                if up.tag in ends:
-                    at = up.parent
-                up = up.parent
-        elif name in BLOCKS:
+            if left := sum(opened[x] for x in ends):
+                up, to = at, None
+                while left and up is not root and up.tag not in bounds:
+                    if up.tag in ends:
+                        to, left = up.parent, left - 1
+                    up = up.parent
+                if to is not None:
+                    up_to(to)
+        elif name in BLOCKS and opened["p"]:
             up = at
             while up is not root and up.tag not in BLOCKS:
                 up = up.parent
             if up.tag == "p":
-                at = up.parent
+                up_to(up.parent)
         marks = frozenset() if name in WHOLE else marks_of(attributes, COMMENTS if name == "article" else MARKS, at.within)
         if name in DROPPED or marks is None or name == "header" and not at.within:
-            if name not in ("head",):
-                skipped = [name]
+            if name != "head":
+                skipped, inside = [name], Counter([name])
             continue
         child = Node(name, at)
         child.marks = marks
         at.inside.append(child)
         if not attributes.endswith("/") or name in BLOCKS:
+            opened[name] += 1
             at = child
-    if pos < end and not skipped:
-        at.inside.append(html.unescape(page[pos:]))
     return root
 
 

@@ -1,10 +1,12 @@
+import math
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnflow.llm.html import extract, main_text
+from tarnflow.llm.html import Node, extract, main_text, measure, tree
 from tarnflow.llm.langid import codes, fitted, gram_sets, held_out, op8_language, predict, train, training_sample
 from tarnflow.llm.neighbours import Codes, nearest, probes
 
@@ -109,6 +111,53 @@ def test_hidden_is_an_attribute_of_its_own():
     assert main_text(f"<body><div hidden><p>no</p></div><div aria-hidden=true>no</div><div style='display: none'>no</div><p>{LONG}</p></body>") == LONG.strip()
 
 
+def test_densities_equal_their_definition():
+    """Each node's counts and densities anew, from all of its descendants."""
+    root = tree(PAGE.replace("<form>", f"<div><a href=q>{LONG}</a><p>{LONG}</p></div><form>"))
+    nodes = measure(root)
+
+    def below(n):
+        return [n, *(y for x in n.inside if isinstance(x, Node) for y in below(x))]
+
+    def chars(n):
+        return sum(len(t.strip()) for x in below(n) for t in x.inside if isinstance(t, str))
+
+    def linked(n):  # characters below links, and links
+        if n.tag == "a":
+            return chars(n), 1 + sum(x.tag == "a" for x in below(n)[1:])
+        own = [linked(x) for x in n.inside if isinstance(x, Node)]
+        return sum(c for c, _ in own), sum(k for _, k in own)
+
+    c_all, (l_all, _) = chars(root), linked(root)
+    dense = {}
+    for n in reversed(nodes):
+        c, t, (lc, lt) = chars(n), max(len(below(n)) - 1, 1), linked(n)
+        base = math.log(c * max(lc, 1) / max(c - lc, 1) + l_all / c_all * c + math.e) if c else 1
+        dense[id(n)] = max(0.0, c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0)) / base) if c else 0.0
+        children = [dense[id(x)] for x in n.inside if isinstance(x, Node)]
+        assert n.density == pytest.approx(dense[id(n)]) and n.total == pytest.approx(sum(children) if children else dense[id(n)])
+    assert sum(n.density > 0 for n in nodes) > 8
+
+
+def test_density_alone_finds_the_article():
+    """No article element, no class, id or role: lists of links and short lines are less dense than the body's threshold."""
+    links = "".join(f"<li><a href=/{i}>Page number {i}</a></li>" for i in range(12))
+    body = "".join(f"<p>{i}. {LONG}</p>" for i in range(6))
+    page = f"<body><div><ul>{links}</ul></div><div><div><h1>A title</h1>{body}</div><div><ul>{links}</ul></div></div><div><a href=x>Imprint</a> <a href=y>Contact</a></div></body>"
+    assert main_text(page) == "\n\n".join(["A title", *(f"{i}. {LONG.strip()}" for i in range(6))])
+    assert main_text(page.replace("<div><h1>", "<article><h1>").replace("</p></div>", "</p></article>")) == main_text(page)
+
+
+@pytest.mark.parametrize("page", [
+    "<a" * 100_000, "<a \"" * 50_001, "<a '>" * 50_000, "<b>" * 50_000 + "</x>" * 50_000, "<nav>" + "<b>" * 50_000 + "</x>" * 50_000, "<b>" * 50_000 + "<p>x</p>" * 50_000,
+    "<div>" * 30_000 + "<li>x" * 30_000, "<" * 200_000, "<!" * 100_000, "<script>" * 50_000,
+], ids=range(10))
+def test_malformed_pages_take_time_in_proportion(page):
+    began = time.time()
+    main_text(page)
+    assert time.time() - began < 10
+
+
 def test_extraction_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(1, "u", PAGE, 5), (2, None, None, 5), (2, None, None, 5)], "page_id long, url string, html string, n_chars int")
     rows = sorted(extract(df).collect(), key=lambda r: r.page_id)
