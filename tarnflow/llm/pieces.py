@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import checkpointed
+from tarnflow.llm.shared import checkpointed, let
 from tarnflow.llm.tables import table
 from tarnflow.llm.tokens import BLANK, CHUNK, MODEL
 
@@ -171,9 +171,10 @@ def _merged_long(edges: Column, n: Column) -> Column:
 
 
 def _symbols_long(masks: Column) -> Column:
-    """(begin, end) of each symbol, as a map from begin to end."""
-    places = F.flatten(F.transform(masks, lambda x, i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda p: F.call_function("getbit", x, p) == 1), lambda p: i * BITS + p)))
-    return F.map_from_arrays(F.slice(places, 1, F.size(places) - 1), F.slice(places, 2, F.size(places) - 1))
+    """A map from the begin of each symbol to its end."""
+    ends = lambda x, i: F.transform(F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda p: F.call_function("getbit", x, p) == 1), lambda p: i * BITS + p)
+    pairs = lambda places: F.map_from_arrays(F.slice(places, F.lit(1), F.size(places) - 1), F.slice(places, F.lit(2), F.size(places) - 1))
+    return let(F.flatten(F.transform(masks, ends)), pairs)
 
 
 def lattice(words: DataFrame, pieces: DataFrame, model: Model) -> DataFrame:
@@ -193,16 +194,14 @@ def lattice(words: DataFrame, pieces: DataFrame, model: Model) -> DataFrame:
     x, y = a % BITS, b % BITS
     edges = found.select("w", F.struct(key.alias("key"), _ends(x, y).alias("ends"), _inner(x, y).alias("inner"), "id").alias("edge"))
     grouped = edges.groupBy("w").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    n = F.length("w")
-    # Exploding one row keeps a fold from being done anew for each edge that its result is compared with.
-    short = grouped.where(n < BITS).withColumn("mask", F.explode(F.array(_merged(F.col("edges"), n))))
-    path = F.filter("edges", lambda e: (F.col("mask").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("mask").bitwiseAND(e["inner"]) == 0))
-    long = grouped.where(n >= BITS).withColumn("masks", F.explode(F.array(_merged_long(F.col("edges"), n)))).withColumn("ends", F.explode(F.array(_symbols_long(F.col("masks")))))
-    within = F.filter("edges", lambda e: F.try_element_at("ends", _begin(e["key"])) == _end(e["key"]))
-    def ordered(path: Column) -> Column:
-        by_place = F.sort_array(F.transform(path, lambda e: F.struct(_begin(e["key"]).alias("a"), e["id"].alias("id"))))
-        return F.transform(by_place, lambda e: F.struct(e["id"].alias("id"), F.when(e["id"].isNull(), raw(e["a"])).alias("raw"))).alias("path")
-    return short.select("w", ordered(path)).unionByName(long.select("w", ordered(within)))
+    n, edges = F.length("w"), F.col("edges")
+    own = lambda mask: F.filter(edges, lambda e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (mask.bitwiseAND(e["inner"]) == 0))
+    own_long = lambda ends: F.filter(edges, lambda e: F.try_element_at(ends, _begin(e["key"])) == _end(e["key"]))
+    short = let(_merged(edges, n), own)
+    long = let(let(_merged_long(edges, n), _symbols_long), own_long)
+    # One path for all words: two, put together, would make all edges twice.
+    by_place = F.sort_array(F.transform(F.when(n < BITS, short).otherwise(long), lambda e: F.struct(_begin(e["key"]).alias("a"), e["id"].alias("id"))))
+    return grouped.select("w", F.transform(by_place, lambda e: F.struct(e["id"].alias("id"), F.when(e["id"].isNull(), raw(e["a"])).alias("raw"))).alias("path"))
 
 
 def _viterbi(edges: Column, n: Column, unknown: float) -> Column:
@@ -258,7 +257,7 @@ def _joined(texts: list[str | None]) -> bytes:
     """Texts as one compressed string, each behind its length; null is -1."""
     raw = [t.encode() if t is not None else None for t in texts]
     lengths = np.array([-1 if r is None else len(r) for r in raw], "<i8")
-    return zstandard.ZstdCompressor(level=6).compress(lengths.tobytes() + b"".join(r for r in raw if r))
+    return zstandard.ZstdCompressor(level=3).compress(lengths.tobytes() + b"".join(r for r in raw if r))
 
 
 def _parted(packed: bytes, n: int) -> list[str | None]:
@@ -282,13 +281,14 @@ def in_blocks(read: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "texts"])
 
         for batch in batches:
-            for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                ids.append(i.as_py())
-                texts.append(t.as_py())
-                size += len(texts[-1] or "")
-                if size >= bound:
-                    yield row()
-                    block, size, ids, texts = block + 1, 0, [], []
+            for at in range(0, batch.num_rows, 256):
+                for i, t in zip(*(batch.column(c).slice(at, 256).to_pylist() for c in ("doc_id", "text")), strict=True):
+                    ids.append(i)
+                    texts.append(t)
+                    size += len(t or "")
+                    if size >= bound:
+                        yield row()
+                        block, size, ids, texts = block + 1, 0, [], []
         if ids:
             yield row()
 

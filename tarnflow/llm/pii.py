@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnflow.llm.shared import let
 from tarnflow.llm.tables import table
 
 SPAN = "array<struct<kind:string,start:int,end:int,score:double,value:string>>"
@@ -59,11 +60,6 @@ NEAR = 40
 MATCHES = 128
 
 
-def let(value: Column, then) -> Column:
-    """then(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _shares(values: Column) -> Column:
     """Numbers of the shares of a list that isn't empty."""
     return F.sequence(F.lit(0), F.floor((F.size(values) - 1) / MATCHES).cast("int"))

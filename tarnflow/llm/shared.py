@@ -1,4 +1,4 @@
-"""Cutting lineage in the folder that all executors share."""
+"""Cutting lineage in the folder that all executors share, and values that are computed once."""
 
 from __future__ import annotations
 
@@ -6,15 +6,23 @@ import gc
 import tempfile
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once for a row."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed and written to spark.checkpoint.dir; a temporary folder only where a session names none, as in tests."""
+    """df, computed and written to spark.checkpoint.dir. A temporary folder stands in on one machine only, as in tests."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
