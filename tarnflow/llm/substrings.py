@@ -162,6 +162,8 @@ def _sides_of(texts: DataFrame, window: int, anchor: int) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 buf = np.frombuffer(row["text"].encode(), np.uint8)
                 run, name = np.array([x["run"] for x in row["runs"]]), np.array([x["anchor"] for x in row["runs"]])
+                fits = (run >> 13) + (run & 63) + window <= len(buf)  # those of a longer text of the same id don't
+                run, name = run[fits], name[fits]
                 start, off, more = run >> 13, (run >> 6) & 63, run & 63
                 at = start + off
                 for salt, own, from_ in ((0, off >= side, at - side), (1, start + more + window - at - anchor >= side, at)):
@@ -190,6 +192,8 @@ def _windows_of(texts: DataFrame, window: int) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 buf = np.frombuffer(row["text"].encode(), np.uint8)
                 run, name = np.array([x["run"] for x in row["runs"]]), np.array([x["anchor"] for x in row["runs"]])
+                fits = (run >> 13) + (run & 63) + window <= len(buf)
+                run, name = run[fits], name[fits]
                 number = (run & 63) + 1
                 at = np.repeat((run >> 13) - (np.cumsum(number) - number), number) + np.arange(number.sum())
                 parts.append((np.full(len(at), row["doc"]), at, np.repeat(name, number).view(np.uint64), _hashed_parts(buf, at, window, powers, numbers)))
@@ -259,11 +263,15 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     A null text counts as empty. Of rows with one doc_id, none repeats another (each is cut for what earlier
     documents hold, at the places found in any of them that it has). A null doc_id is before all others, and so
-    keeps its text whole. Texts shorter than the window stay whole. An empty table gives no rows.
+    keeps its text whole; such rows are told apart by their texts' hashes, numbers below all ids of -2**62 or more.
+    Extra columns are left out. Texts shorter than the window stay whole. An empty table gives no rows.
     """
-    read = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    clean = F.coalesce(F.col(text), F.lit(""))
+    nameless = F.lit(-(1 << 63)) + F.pmod(F.xxhash64(clean), F.lit(1 << 62))
+    read = docs.select(F.coalesce(F.col(doc_id).cast("long"), nameless).alias("doc"), clean.alias("text"))
     texts = read.repartition("doc")
-    places = repeated(read, texts, window, anchor).groupBy("doc").agg(F.collect_list("run").alias("runs"))
+    named = F.col("doc") >= -(1 << 62)
+    places = repeated(read, texts, window, anchor).where(named).groupBy("doc").agg(F.collect_list("run").alias("runs"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -279,7 +287,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([part.column("doc"), *columns], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"])
 
     out = texts.join(places, "doc", "left").mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != -(1 << 63), F.col("doc_id")))
+    return out.withColumn("doc_id", F.when(F.col("doc_id") >= -(1 << 62), F.col("doc_id")))
 
 
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

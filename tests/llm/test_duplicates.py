@@ -50,6 +50,15 @@ def test_repeats_with_null_and_equal_ids(spark):
     assert sorted(rows, key=str) == sorted([(None, 0), (1, len(text)), (1, len(text)), (2, 0)], key=str)
 
 
+def test_different_texts_without_id_or_of_one_id(spark):
+    random.seed(5)
+    text = lambda n: "".join(random.choice("abcdef ") for _ in range(n))
+    shared = text(120)
+    rows = [(None, text(300) + shared), (None, shared + text(40)), (None, text(900)), (7, text(200) + shared), (7, "short"), (7, text(60)), (9, shared[:80] + text(20))]
+    out = without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in out), key=str) == sorted([(i, len(t), {(7, 320): 120, (9, 100): 80}.get((i, len(t)), 0)) for i, t in rows], key=str)
+
+
 def brute_links(rows, words=5, threshold=0.8):
     sets = {}
     for d, t in rows:
