@@ -171,7 +171,7 @@ def nearest(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector:
 
     is_query is a condition on df. Rows without an id, and vectors that are null, zero, of another length than the
     sample's commonest or that hold null or non-finite parts, take no part. A query never finds rows with its own
-    id. Repeated rows count once. Without valid vectors there are no rows.
+    id. Repeated rows count once; a query id with several vectors asks with the least of them. Without valid vectors there are no rows.
     """
     spark = df.sparkSession
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
@@ -192,7 +192,7 @@ def nearest(df: DataFrame, is_query, k: int = 5, vec_id: str = "vec_id", vector:
     ids = ids.withColumn("n", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("id"))).where(F.col("n") <= k + 1)
     nodes = ids.groupBy("h1", "h2").agg(F.min("id").alias("node"), F.collect_list("id").alias("ids"), F.first("v").alias("v"))
     nodes = checkpointed(_coded(nodes.select("node", "ids", "v"), codes))
-    queries = checkpointed(_coded(valid.where("asks").select("id", "v").dropDuplicates(["id"]), codes))
+    queries = checkpointed(_coded(valid.where("asks").groupBy("id").agg(F.min("v").alias("v")), codes))
 
     vectors = _buckets(nodes, "node")
     salts = checkpointed(vectors.groupBy("part", "value").agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("salts")))

@@ -55,6 +55,12 @@ def test_edge_cases(spark):
     assert nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_ties_beyond_k_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(i, [0.0, 2.0]) for i in range(30, 20, -1)] + [(40, [3.0, 0.0]), (41, [1.0, 0.0, 0.0])]
+    got = [(r.query_id, r.rank, r.vec_id) for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    assert got == [(0, i + 1, 21 + i) for i in range(5)]
+
+
 def test_codes_fit_short_vectors():
     x = np.random.default_rng(1).standard_normal((40, 3))
     assert len(Codes(x).of(x)) == 40
