@@ -213,7 +213,8 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     class_id is the smallest doc_id that chains of similar pairs lead to, n_links the number of other rows
     with a similarity of at least threshold, n_copies those of them with the same n-gram set. A text of fewer
     words than n has one n-gram of all of them. Null and empty texts, and those of white space, are similar to
-    nothing: each is its own class. Rows of one doc_id count as one document in the classes. A null doc_id has
+    nothing: each is its own class. Rows of one doc_id count as one document in the classes; if their texts differ,
+    the one with the least hash is compared. A null doc_id has
     a null class and takes no part. An empty table gives no rows.
     """
     bands = bands_for(threshold, recall, rows)
@@ -234,7 +235,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     texts = read.join(member, read.doc_id == member.node).select("group", "own", "blocks", "node", "copies", "text")
     dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "node", "copies", (F.col("own") > F.col("other")).cast("int").alias("side"), "text")
-    dealt = dealt.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi", "node")
+    dealt = dealt.repartition("group", "lo", "hi").sortWithinPartitions("group", "lo", "hi", "node", F.xxhash64("text"))
     found = checkpointed(_verify(dealt, words, threshold))
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
