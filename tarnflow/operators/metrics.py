@@ -128,5 +128,13 @@ def auc(scores: DataFrame) -> DataFrame:
     return sums.select("user", F.coalesce(area, F.lit(0.0)).alias("auc"))
 
 
+def ndcg_of_scores(scores: DataFrame, k: int = 10) -> DataFrame:
+    """(user, ndcg) of raw scores (user, item, score, positive): the k best by score, against all positives up to k; 0 without a positive."""
+    n = scores.groupBy("user").agg(F.sum("positive").alias("n_true"))
+    gain = top_k(scores, k).groupBy("user").agg(F.sum(F.when(F.col("positive") == 1, discount(F.col("rank"))).otherwise(0.0)).alias("gain"))
+    ideal = ideal_gain(F.least(F.lit(k), F.col("n_true")))
+    return n.join(gain, "user").select("user", F.coalesce(F.try_divide("gain", ideal), F.lit(0.0)).alias("ndcg"))
+
+
 def rmse(df: DataFrame, predicted: str, actual: str) -> DataFrame:
     return df.agg(F.sqrt(F.avg(F.pow(F.col(predicted) - F.col(actual), F.lit(2.0)))).alias("rmse"))

@@ -213,10 +213,20 @@ def loo_ndcg(s, d):
 SELECT *, rank() OVER (PARTITION BY "user" ORDER BY score) + (count(*) OVER (PARTITION BY "user", score) - 1) / 2.0 AS r FROM (
 SELECT u."user", b.item, b.score, CASE WHEN t.item IS NULL THEN 0 ELSE 1 END AS positive FROM tusers u CROSS JOIN best b LEFT JOIN truth t ON t."user" = u."user" AND t.item = b.item)) GROUP BY 1""", TRUTH)
 def auc_user(s, d):
+    return M.auc(marked(s, d)).withColumn("auc", F.round("auc", 6))
+
+
+def marked(s, d):
+    """(user, item, score, positive): every item's popularity as the score of each user of the test week."""
     t = truth(s, d)
-    pairs = t.select("user").distinct().crossJoin(F.broadcast(popularity(s, d))).withColumnRenamed("popularity", "score")
-    marked = pairs.join(t.withColumn("positive", F.lit(1)), ["user", "item"], "left").na.fill(0, ["positive"])
-    return M.auc(marked).withColumn("auc", F.round("auc", 6))
+    pairs = t.select("user").distinct().crossJoin(popularity(s, d)).withColumnRenamed("popularity", "score")
+    return pairs.join(t.withColumn("positive", F.lit(1)), ["user", "item"], "left").na.fill(0, ["positive"])
+
+
+@query("""SELECT "user", round(coalesce(sum(CASE WHEN positive = 1 AND r <= 10 THEN 1 / log2(r + 1) ELSE 0 END) / nullif((SELECT sum(1 / log2(i + 1)) FROM range(1, 11) q(i) WHERE i <= sum(positive)), 0), 0), 6) AS ndcg FROM (
+SELECT u."user", CASE WHEN t.item IS NULL THEN 0 ELSE 1 END AS positive, row_number() OVER (PARTITION BY u."user" ORDER BY b.score DESC, b.item) AS r FROM tusers u CROSS JOIN best b LEFT JOIN truth t ON t."user" = u."user" AND t.item = b.item) GROUP BY 1""", TRUTH)
+def ndcg_scores(s, d):
+    return M.ndcg_of_scores(marked(s, d), K).withColumn("ndcg", F.round("ndcg", 6))
 
 
 @query('SELECT round(sqrt(avg(pow(m - rating, 2))), 6) AS rmse FROM rat JOIN (SELECT item, avg(rating) AS m FROM rat GROUP BY 1) USING (item)')

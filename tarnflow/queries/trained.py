@@ -15,7 +15,7 @@ from tarnflow.operators.similarity import mixed_distances, nearest
 from tarnflow.operators.splits import at_random, hashed_negatives
 from tarnflow.plans import recommenders as R
 from tarnflow.queries.data import longs
-from tarnflow.queries.ranking import popularity, train, truth
+from tarnflow.queries.ranking import TRUTH, popularity, train, truth
 from tarnflow.queries.registry import query
 from tarnflow.queries import similar
 from tarnflow.sources import given as G
@@ -158,10 +158,30 @@ def events_pairs(s, d):
 LAYER = ([[0.5, 0.1, 0.0], [0.0, 0.4, 0.2], [0.1, 0.0, 0.3]], [[0.2, 0.0, 0.1], [0.1, 0.3, 0.0], [0.0, 0.1, 0.2]])
 
 
-@query()
+def layer_sql(before: str, after: str) -> str:
+    """CTEs of one layer: sums of neighbours, the new vectors of 3 numbers, and these with length 1."""
+    w1, w2 = LAYER
+    linear = [" + ".join([f"{w1[i][j]} * s{j} + {w2[i][j]} * x{j} * s{j}" for j in range(3)]) for i in range(3)]
+    leaky = ", ".join(f"CASE WHEN {t} > 0 THEN {t} ELSE 0.01 * ({t}) END::DOUBLE AS x{i}" for i, t in enumerate(linear))
+    summed = ", ".join(f"sum(x{i} / (n + 1)) AS s{i}" for i in range(3))
+    return f"""s_{after} AS (SELECT src AS id, {summed} FROM (SELECT src, dst FROM ged UNION ALL SELECT src, src FROM gdg) JOIN gdg USING (src) JOIN {before} v ON v.id = dst GROUP BY 1),
+{after} AS (SELECT id, {leaky} FROM {before} JOIN s_{after} USING (id)),
+u_{after} AS (SELECT id, {", ".join(f"x{i} / greatest(sqrt(x0 * x0 + x1 * x1 + x2 * x2), 1e-12) AS x{i}" for i in range(3))} FROM {after})"""
+
+
+START = ", ".join(f"CAST('0x' || substr(md5(concat_ws('-', '1', id, '{i}')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE * 0.2 - 0.1 AS x{i}" for i in range(3))
+PROPAGATED = TRUTH + f""",
+ged AS (SELECT 'u' || CAST("user" AS VARCHAR) AS src, 'i' || CAST(item AS VARCHAR) AS dst FROM (SELECT DISTINCT "user", item FROM ptrain) UNION ALL SELECT 'i' || CAST(item AS VARCHAR), 'u' || CAST("user" AS VARCHAR) FROM (SELECT DISTINCT "user", item FROM ptrain)),
+gdg AS (SELECT src, count(*) AS n FROM ged GROUP BY 1),
+l0 AS (SELECT id, {START} FROM (SELECT src AS id FROM gdg)),
+{layer_sql("l0", "l1")}, {layer_sql("l1", "l2")}"""
+
+
+@query(" UNION ALL ".join(f"SELECT id, CAST({3 * n + i} AS BIGINT) AS place, round(x{i}, 6) AS value FROM {t}" for n, t in enumerate(("l0", "u_l1", "u_l2")) for i in range(3)), PROPAGATED)
 def graph_propagation(s, d):
     adj = Gr.adjacency(events_pairs(s, d), "norm")
-    return Gr.propagate(adj, first_vectors(s, d), [LAYER, LAYER])
+    out = Gr.propagate(adj, first_vectors(s, d), [LAYER, LAYER])
+    return out.select("id", F.posexplode("v").alias("place", "value")).select("id", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value"))
 
 
 def fixed_factors(df, key):
@@ -190,6 +210,20 @@ def hot_cold_recs(s, d):
     return R.hot_and_cold(hot, longs(R.most_popular(G.users(s, d).select("user"), popularity(s, d)), "rank"))
 
 
+HOT = """(SELECT "user", item, rank FROM (SELECT "user", item, row_number() OVER (PARTITION BY "user" ORDER BY "user" % 7 * (item % 7) + "user" % 11 * (item % 11) DESC, item) AS rank
+FROM (SELECT DISTINCT "user" FROM ptrain) CROSS JOIN (SELECT DISTINCT item FROM ptrain) ANTI JOIN ptrain USING ("user", item)) WHERE rank <= 10)"""
+
+
+@query(f"""SELECT "user", item, CAST(rank AS BIGINT) AS rank FROM {HOT} UNION ALL
+SELECT u."user", b.item, CAST(b.rank AS BIGINT) FROM users u CROSS JOIN best b WHERE b.rank <= 10 AND u."user" NOT IN (SELECT "user" FROM {HOT})""", TRUTH)
+def hot_cold_given(s, d):
+    """Given scores for users with a history, popularity for all others."""
+    p = train(s, d)[0]
+    u, i = (fixed_factors(p.select(c).distinct(), c) for c in ("user", "item"))
+    hot = longs(Fa.dot_scores(u, i, p, 10), "rank").select("user", "item", "rank")
+    return R.hot_and_cold(hot, longs(R.most_popular(G.users(s, d).select("user"), popularity(s, d)), "rank"))
+
+
 @query()
 def hot_cold_map(s, d):
     lists = hot_cold_recs(s, d)

@@ -109,3 +109,11 @@ def test_files(spark, tmp_path):
     files.write_splits(pairs.withColumn("dset", F.col("user")), f"{tmp_path}/s")
     assert spark.read.parquet(f"{tmp_path}/s").where("dset = 2").count() == 1
     assert [r.t is None for r in files.parsed_times(spark.createDataFrame([("2024-01-01",), ("x",), (None,)], "t string"), "t").collect()] == [False, True, True]
+
+
+def test_ndcg_of_raw_scores(spark):
+    rows = [(1, 1, 0.9, 0), (1, 2, 0.8, 1), (1, 3, 0.7, 1), (1, 4, 0.1, 1), (2, 1, 0.5, 0), (3, 1, 0.5, 1), (3, 2, 0.5, 0)]
+    df = spark.createDataFrame(rows, "user long, item long, score double, positive int")
+    got = {r.user: r.ndcg for r in M.ndcg_of_scores(df, 2).collect()}
+    ideal = 1 + 1 / math.log2(3)
+    assert got == {1: pytest.approx(1 / math.log2(3) / ideal), 2: 0.0, 3: pytest.approx(1.0)}
