@@ -53,11 +53,10 @@ def graded(df: DataFrame, column: str, out: str, shares: tuple[float, float] = (
 
 
 def codes(df: DataFrame, column: str, unseen: bool = False) -> DataFrame:
-    """(value, code): values in order from 0; with unseen, a null value with the next code stands for all others."""
-    values = df.select(F.col(column).alias("value")).where(F.col(column).isNotNull()).distinct()
-    made = values.withColumn("code", F.row_number().over(Window.orderBy("value")).cast("long") - 1)
+    """(value, code): values in order from 0, numbered in ranges; with unseen, a null value with the next code stands for all others."""
+    made = contiguous_ids(df, column).select(F.col("orig_id").alias("value"), F.col("remap_id").alias("code"))
     if unseen:
-        made = made.unionByName(values.agg(F.lit(None).cast(values.schema[0].dataType).alias("value"), F.count("*").alias("code")))
+        made = made.unionByName(df.agg(F.lit(None).cast(made.schema[0].dataType).alias("value"), F.count_distinct(column).alias("code")))
     return made
 
 

@@ -134,8 +134,8 @@ def known_items(log: DataFrame, train: DataFrame, item: str = "item") -> DataFra
 def negatives(seen: DataFrame, catalogue: DataFrame, n: int, seed: int = 1, user: str = "user", item: str = "item") -> DataFrame:
     """(user, item, n): n items for each user among those that the user has not seen, first by draw.
 
-    The catalogue has one row for each item. Users are dealt to tasks and each meets the catalogue; only n rows
-    of a user leave a task, since a row number limit is applied before the shuffle.
+    The catalogue has one row for each item. Every user meets the whole catalogue, and these pairs are shuffled once, to
+    leave out what is seen: the exact draw asks for that. hashed_negatives draws without it.
     """
     users = seen.select(user).distinct()
     candidates = users.crossJoin(catalogue.select(item)).join(seen.select(user, item).distinct(), [user, item], "left_anti")
