@@ -16,7 +16,8 @@ are shuffled once, as compressed blocks.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from itertools import chain, pairwise
 
 import numpy as np
@@ -248,9 +249,54 @@ class Words:
         at = [0, *(i + 1 for i, (a, b) in enumerate(pairwise(word)) if a + b not in self.pairs), len(word)]
         return [word[a:b] for a, b in pairwise(at)]
 
-    def of_block(self, texts: list[str | None]) -> dict[str, list[str] | tuple[str, ...]]:
-        """Words of each different chunk of some texts, in the order of the texts."""
-        return {c: self.of(c) for c in dict.fromkeys(chain.from_iterable(map(self.chunks, texts)))}
+
+class Numbers(dict):
+    """Numbers of strings, in the order in which they were first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+    def of(self, strings: Iterable[str]) -> array:
+        return array("i", map(self.__getitem__, strings))
+
+
+class Block:
+    """Texts as numbers of their chunks, and chunks as numbers of their words; the same whenever a block is read."""
+
+    def __init__(self, words: Words, texts: list[str | None], dictionary: Dictionary):
+        chunks, numbers = Numbers(), Numbers()
+        self.texts = [chunks.of(words.chunks(t)) for t in texts]
+        by_chunk = [words.of(c) for c in chunks]
+        self.chunks, self.counts = np.asarray(numbers.of(chain.from_iterable(by_chunk))), np.array([len(w) for w in by_chunk], np.int32)
+        self.words = list(numbers)
+        self.places = dictionary.places(self.words)
+        self.new = np.flatnonzero(self.places < 0)
+
+    def ids(self, dictionary: Dictionary, answers: pa.ListArray) -> pa.ListArray:
+        """Ids of each text, from those of the words that aren't in the dictionary, in their order."""
+        known = np.flatnonzero(self.places >= 0)
+        lists = pa.concat_arrays([answers, dictionary.ids.take(pa.array(self.places[known]))])
+        row = np.empty(len(self.words), np.int32)
+        row[self.new], row[known] = np.arange(len(self.new)), len(self.new) + np.arange(len(known))
+        flat, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+        chunk = np.concatenate([np.zeros(0, np.int32), *(np.asarray(t) for t in self.texts)])
+        word = row[self.chunks[_spread(_starts(self.counts)[chunk], self.counts[chunk])]]
+        ids = flat[_spread(_starts(lengths)[word], lengths[word])]
+        per_chunk = np.add.reduceat(lengths[row[self.chunks]], _starts(self.counts)) if len(self.counts) else np.zeros(0, np.int32)
+        ends = np.concatenate([[0], np.cumsum(per_chunk[chunk])])[np.cumsum([0, *map(len, self.texts)])]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+
+
+def _starts(lengths: np.ndarray) -> np.ndarray:
+    return (np.cumsum(lengths) - lengths).astype(np.int32)
+
+
+def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each length, one behind the other."""
+    out = np.repeat((start - _starts(length)).astype(np.int32), length)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
 
 
 def _joined(texts: list[str | None]) -> bytes:
@@ -305,14 +351,6 @@ class Dictionary:
         """Where each word is; -1 if it isn't."""
         return pc.fill_null(pc.index_in(pa.array(words, pa.string()), value_set=self.words), -1).to_numpy()
 
-    def of(self, places: np.ndarray) -> list[bytes]:
-        return _id_bytes(self.ids.take(pa.array(places)))
-
-
-def _id_bytes(lists: pa.ListArray) -> list[bytes]:
-    raw, ends = lists.flatten().to_numpy().astype("<i4").tobytes(), np.cumsum([0, *lists.value_lengths().to_pylist()]).tolist()
-    return [raw[4 * a : 4 * b] for a, b in pairwise(ends)]
-
 
 def _with_ids(solved: DataFrame, model: Model) -> DataFrame:
     """(w, ids binary): unknown code points become their bytes."""
@@ -352,19 +390,12 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
 
     dealt = in_blocks(read).repartition("block")
 
-    def parted(words: Words, texts: bytes, n: int) -> tuple[list[str | None], dict, list[str], np.ndarray]:
-        """(texts, words by chunk, different words, their places in the dictionary) of a block; words are in the same order whenever a block is read."""
-        texts = _parted(texts, n)
-        by_chunk = words.of_block(texts)
-        own = list(dict.fromkeys(chain.from_iterable(by_chunk.values())))
-        return texts, by_chunk, own, at_hand.value.places(own)
-
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(word, pairs)
         for batch in batches:
             for block, ids, packed in zip(*(batch.column(c) for c in ("block", "doc_ids", "texts")), strict=True):
-                _, _, own, places = parted(words, packed.as_py(), len(ids))
-                new = [own[i] for i in np.flatnonzero(places < 0).tolist()]
+                own = Block(words, _parted(packed.as_py(), len(ids)), at_hand.value)
+                new = [own.words[i] for i in own.new.tolist()]
                 for at in range(0, len(new), 10_000):
                     n = len(new[at : at + 10_000])
                     yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * n, pa.int64()), pa.array(range(at, at + n), pa.int32()), pa.array(new[at : at + n], pa.string())], ["block", "at", "w"])
@@ -376,16 +407,10 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
     answers = need.join(rare, "w").select("block", "at", "ids")
 
     def assembled(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        ids = blocks.column("doc_ids").combine_chunks().flatten()
-        texts, by_chunk, own, places = parted(words := Words(word, pairs), blocks.column("texts")[0].as_py(), len(ids))
+        doc_ids = blocks.column("doc_ids").combine_chunks().flatten()
+        own = Block(Words(word, pairs), _parted(blocks.column("texts")[0].as_py(), len(doc_ids)), at_hand.value)
         order = np.argsort(answers.column("at").to_numpy())
-        known = dict(zip([own[i] for i in np.flatnonzero(places < 0).tolist()], _id_bytes(answers.column("ids").combine_chunks().take(pa.array(order))), strict=True))
-        known.update(zip([own[i] for i in np.flatnonzero(places >= 0).tolist()], at_hand.value.of(places[places >= 0]), strict=True))
-        of = {c: known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w]) for c, w in by_chunk.items()}
-        out = [b"".join(map(of.__getitem__, words.chunks(t))) for t in texts]
-        ends = np.cumsum([0, *(len(x) // 4 for x in out)])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
-        return pa.Table.from_arrays([ids, lists], ["doc_id", "ids"])
+        return pa.Table.from_arrays([doc_ids, own.ids(at_hand.value, answers.column("ids").combine_chunks().take(pa.array(order)))], ["doc_id", "ids"])
 
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assembled, "doc_id long, ids array<int>")
 
