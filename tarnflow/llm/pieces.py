@@ -39,7 +39,7 @@ BITS = 60
 #: Words in the dictionary of frequent ones, each of DICTIONARY_CHARS at most; every so manieth document is read for it.
 DICTIONARY_WORDS, DICTIONARY_CHARS, DICTIONARY_EVERY = 1 << 18, 24, 16
 #: Bytes of text in a block, but for the last text of a block, which is whole.
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 3_000_000
 #: A piece table of more rows isn't broadcast.
 MOST_PIECES = 1 << 20
 #: What an unknown code point scores below the least piece.
