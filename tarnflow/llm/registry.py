@@ -10,9 +10,10 @@ from tarnflow.llm.neighbours import op5_nearest
 from tarnflow.llm.pieces import op10_sentencepiece
 from tarnflow.llm.pii import op1_pii
 from tarnflow.llm.prefixes import ORACLE, op11_prefix_trie
+from tarnflow.llm.sketches import op12_fingerprints
 from tarnflow.llm.spelling import op13_spelling
 from tarnflow.llm.substrings import op2_repeated_passages
 from tarnflow.llm.tokens import op3_token_counts, op4_packed_ids
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_repeated_passages, op3_token_counts, op4_packed_ids, op5_nearest, op6_main_text, op7_jaccard_join, op8_language, op9_contaminated, op10_sentencepiece, op11_prefix_trie, op13_spelling)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_repeated_passages, op3_token_counts, op4_packed_ids, op5_nearest, op6_main_text, op7_jaccard_join, op8_language, op9_contaminated, op10_sentencepiece, op11_prefix_trie, op12_fingerprints, op13_spelling)}
 ORACLE_SQL: dict[str, str] = {"op11_prefix_trie": ORACLE}
