@@ -59,3 +59,15 @@ def accumulated(df: DataFrame, by: list[str], order: list[Column], sums: dict[st
 def placed(df: DataFrame, by: list[str], order: list[Column], out: str = "place", size: str | None = None) -> DataFrame:
     """df with each row's place within its group, from 1, and the group's size if it has a name."""
     return accumulated(df, by, order, {out: F.lit(1).cast("long")}, {out: size} if size else None)
+
+
+def record(df: DataFrame, order: Column, values: dict[str, Column]) -> DataFrame:
+    """df with, by name, the largest value of the column up to each row of the order."""
+    parts = ranged(df.select("*", *[c.alias(f"__{n}") for n, c in values.items()]), [], [order])
+    local = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = parts.select("*", *[F.max(f"__{n}").over(local).alias(n) for n in values]).drop(*[f"__{n}" for n in values])
+    sizes = parts.groupBy("__part").agg(*[F.max(f"__{n}").alias(f"__{n}") for n in values])
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__part", *[F.max(f"__{n}").over(before).alias(f"__before_{n}") for n in values])
+    out = rows.join(F.broadcast(sizes), "__part")
+    return out.withColumns({n: F.greatest(n, f"__before_{n}") for n in values}).drop("__part", *[f"__before_{n}" for n in values])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarnflow.functions.scores import drawn
 from tarnflow.operators.interactions import overlaid
 from tarnflow.operators.metrics import average_precision, top_k
-from tarnflow.operators.similarity import neighbour_recs, nearest
+from tarnflow.operators.similarity import neighbour_recs
 
 
 def most_popular(users: DataFrame, popularity: DataFrame, k: int = 10) -> DataFrame:
@@ -54,9 +54,8 @@ def by_profile(profiles: DataFrame, candidates: DataFrame, k: int = 10) -> DataF
     return d.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def by_neighbours(log: DataFrame, neighbours: DataFrame, distances: DataFrame, k: int = 10, pool: int = 50) -> DataFrame:
-    """Neighbours of a user's items, each put as the new item nearest to it; distances: (a = train item, b = new item, distance)."""
-    to_new = nearest(distances, 1).select(F.col("a").alias("item"), F.col("b").alias("new"))
+def by_neighbours(log: DataFrame, neighbours: DataFrame, to_new: DataFrame, k: int = 10, pool: int = 50) -> DataFrame:
+    """Neighbours of a user's items, each put as the new item nearest to it; to_new: (item, new) of all neighbours."""
     recs = neighbour_recs(log, neighbours, pool).join(to_new, "item").groupBy("user", F.col("new").alias("item")).agg(F.max("score").alias("score"))
     return top_k(recs.withColumn("score", F.round("score", 9)), k)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarnflow.operators import draws as D
 from tarnflow.operators import encoding as E
 from tarnflow.operators import interactions as I
 from tarnflow.operators import splits as S
@@ -138,6 +139,40 @@ def neg_pools_10(s, d):
     return longs(S.negatives(G.ratings(s, d), G.items(s, d), 10), "n")
 
 
+#: The first values of seeded permutations of 0 .. size - 1: a step of the network a row, four to a value, again while it is beyond the size.
+WALK = """
+num AS MATERIALIZED (SELECT item, row_number() OVER (ORDER BY item) - 1 AS pos FROM items),
+wk AS (SELECT seed, "user", i, size, root, 0 AS k, i // root AS l, i % root AS r FROM (SELECT seed, "user", size, CAST(ceil(sqrt(size)) AS BIGINT) AS root, unnest(range(least({n}, size))) AS i FROM asked)
+UNION ALL SELECT seed, "user", i, size, root, k + 1, r, (l + CAST('0x' || substr(md5(concat_ws('-', '1', CAST(seed AS VARCHAR), CAST("user" AS VARCHAR), CAST(k % 4 AS VARCHAR), CAST(r AS VARCHAR))), 1, 8) AS BIGINT)) % root FROM wk WHERE k = 0 OR k % 4 <> 0 OR l * root + r >= size),
+pm AS (SELECT seed, "user", CAST(i + 1 AS BIGINT) AS n, l * root + r AS pos FROM wk WHERE k > 0 AND k % 4 = 0 AND l * root + r < size)"""
+UNSEEN = """
+sn AS MATERIALIZED (SELECT "user", pos, pos - row_number() OVER (PARTITION BY "user" ORDER BY pos) + 1 AS below FROM pairs JOIN num USING (item)),
+gp AS (SELECT "user", list(below ORDER BY below) AS gaps FROM sn GROUP BY 1),
+un AS (SELECT "user", item, n FROM (SELECT "user", n, pm.pos + len(list_filter(gaps, lambda g: g <= pm.pos)) AS pos FROM pm JOIN gp USING ("user")) JOIN num USING (pos))"""
+ASKED = """
+asked AS (SELECT 1 AS seed, "user", (SELECT count(*) FROM items) - count(*) AS size FROM pairs GROUP BY 2)"""
+
+
+@query('SELECT "user", item, n FROM un', ",".join((ASKED, WALK.format(n=99), UNSEEN)), recursive=True)
+def neg_eval_ranked(s, d):
+    """Evaluation negatives by rank among what is unseen: 99 rows a user are made, not the catalogue."""
+    return longs(D.unseen(G.pairs(s, d), G.items(s, d), 99), "n")
+
+
+@query('SELECT "user", item, n FROM un', ",".join((ASKED, WALK.format(n=10), UNSEEN)), recursive=True)
+def neg_pools_ranked(s, d):
+    return longs(D.unseen(G.pairs(s, d), G.items(s, d), 10), "n")
+
+
+SEEDED = 'asked AS (SELECT seed, "user", (SELECT count(*) FROM items) AS size FROM users, (SELECT unnest([1, 2, 3]) AS seed)),'
+
+
+@query('SELECT CAST(seed AS INT) AS seed, "user", item, n AS rank FROM pm JOIN num USING (pos)', SEEDED + WALK.format(n=10), recursive=True)
+def recs_drawn(s, d):
+    """Ten different items for each user of the large log and each seed, by permutations: nothing else is made."""
+    return longs(D.lists(G.users(s, d), G.items(s, d), 10, (1, 2, 3)), "rank")
+
+
 def catalogue(s, d):
     return E.contiguous_ids(G.items(s, d), "item")
 

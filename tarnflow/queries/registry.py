@@ -22,13 +22,13 @@ users AS (SELECT c_custkey AS "user", CAST(c_nationkey AS BIGINT) AS nation, c_a
 """
 
 
-def query(sql: str | None = None, ctes: str = "") -> Callable:
-    """Registers a function (spark, folder) under its name; sql may use the roles, and further ctes."""
+def query(sql: str | None = None, ctes: str = "", recursive: bool = False) -> Callable:
+    """Registers a function (spark, folder) under its name; sql may use the roles, and further ctes, which may be recursive."""
 
     def keep(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLE_SQL[f.__name__] = f"WITH {ROLES}{',' + ctes if ctes else ''}\n{sql}"
+            ORACLE_SQL[f.__name__] = f"WITH {'RECURSIVE ' if recursive else ''}{ROLES}{',' + ctes if ctes else ''}\n{sql}"
         return f
 
     return keep

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnflow.operators import graph as Gr
+from tarnflow.operators import pruned as Pr
 from tarnflow.operators import similarity as Si
 from tarnflow.plans import recommenders as R
 from tarnflow.queries.data import longs
@@ -48,9 +49,13 @@ SELECT a.item AS ai, b.item AS bi, CAST(a.brand = b.brand AS INT) + CAST(a.type
 cb AS (SELECT *, (coalesce((e - min(e) OVER w) / nullif(max(e) OVER w - min(e) OVER w, 0), 0) * (max(j) OVER w - min(j) OVER w) + min(j) OVER w + j) / 2 AS c FROM mx WINDOW w AS (PARTITION BY a))"""
 
 
-def mixed(s, d):
+def both_sides(s, d):
     i = G.items(s, d)
-    return Si.mixed_distances(i.where("item % 5 = 0"), i.where("item % 5 <> 0"), NUMERIC, CATEGORICAL)
+    return i.where("item % 5 = 0"), i.where("item % 5 <> 0")
+
+
+def mixed(s, d):
+    return Si.mixed_distances(*both_sides(s, d), NUMERIC, CATEGORICAL)
 
 
 @query("SELECT a, b, round(j, 6) AS jaccard FROM cb", MIXED)
@@ -66,9 +71,9 @@ def dist_combined(s, d):
 @query("""SELECT a, b, 'new' AS side FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(c, 6), b) AS r FROM cb) WHERE r = 1
 UNION ALL SELECT a, b, 'train' FROM (SELECT a, b, row_number() OVER (PARTITION BY b ORDER BY round(c, 6), a) AS r FROM cb) WHERE r = 1""", MIXED)
 def nearest_item_map(s, d):
-    m = mixed(s, d)
-    new = Si.nearest(m, 1, "a", "b", "combined", 6).select("a", "b", F.lit("new").alias("side"))
-    return new.unionByName(Si.nearest(m, 1, "b", "a", "combined", 6).select("a", "b", F.lit("train").alias("side")))
+    new, train = both_sides(s, d)
+    near = Pr.nearest_train(new, train, NUMERIC, CATEGORICAL, digits=6).select("a", "b", F.lit("new").alias("side"))
+    return near.unionByName(Pr.nearest_new(new, train, NUMERIC, CATEGORICAL, digits=6).select("a", "b", F.lit("train").alias("side")))
 
 
 TEN = TRUTH + "," + MIXED + ", ten AS (SELECT item AS b FROM best WHERE item % 5 <> 0 ORDER BY rank LIMIT 10)"
@@ -76,8 +81,8 @@ TEN = TRUTH + "," + MIXED + ", ten AS (SELECT item AS b FROM best WHERE item % 5
 
 @query("SELECT a, round(1 - avg(c), 6) AS popularity FROM cb SEMI JOIN ten USING (b) GROUP BY 1", TEN)
 def proxy_popularity(s, d):
-    best = popularity(s, d).where("item % 5 <> 0").orderBy(F.desc("popularity"), "item").limit(10).select(F.col("item").alias("b"))
-    return Si.proxy_popularity(mixed(s, d), best, "combined").withColumn("popularity", F.round("popularity", 6))
+    best = popularity(s, d).where("item % 5 <> 0").orderBy(F.desc("popularity"), "item").limit(10).select("item")
+    return Pr.proxy_popularity(*both_sides(s, d), best, NUMERIC, CATEGORICAL).withColumn("popularity", F.round("popularity", 6))
 
 
 PROFILE = TRUTH + "," + SMALL + """,
@@ -158,8 +163,9 @@ def knn_cf_pool(s, d):
 SELECT "user", a AS item, round(max(score), 9) AS score FROM kr JOIN (SELECT b, a FROM (SELECT b, a, row_number() OVER (PARTITION BY b ORDER BY round(c, 9), a) AS r FROM cb) WHERE r = 1) ON b = item WHERE kr.rank <= 50 GROUP BY 1, 2)) WHERE rank <= 10""", KNN + "," + MIXED)
 def knn_cf_recs(s, d):
     p = pairs(s, d)
-    m = mixed(s, d).select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("combined").alias("distance"))
-    return longs(R.by_neighbours(p, Si.item_neighbours(p, 10), m, 10), "rank").select("user", "item", "rank")
+    neighbours = Pr.written(Si.item_neighbours(p, 10))
+    to_new = Pr.nearest_new(*both_sides(s, d), NUMERIC, CATEGORICAL, only=neighbours.select(F.col("neighbour").alias("item")))
+    return longs(R.by_neighbours(p, neighbours, to_new.select(F.col("b").alias("item"), F.col("a").alias("new")), 10), "rank").select("user", "item", "rank")
 
 
 TITLES = "ti AS (SELECT item AS id, CASE WHEN item % 3 <> 0 THEN brand END AS title FROM items)"

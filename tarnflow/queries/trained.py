@@ -11,7 +11,7 @@ from tarnflow.operators import graph as Gr
 from tarnflow.operators import interactions as I
 from tarnflow.operators import models as Mo
 from tarnflow.operators.metrics import average_precision
-from tarnflow.operators.similarity import mixed_distances, nearest
+from tarnflow.operators.pruned import nearest_train
 from tarnflow.operators.splits import at_random, hashed_negatives
 from tarnflow.plans import recommenders as R
 from tarnflow.queries.data import longs
@@ -87,7 +87,7 @@ def nmf_gbt_recs(s, d):
     rows, cols = Fa.nmf(known, K, 5)
     all_items = G.items(s, d)
     with_factors = all_items.join(cols.select(F.col("id").alias("item")), "item", "left_semi")
-    near = nearest(mixed_distances(all_items.where("item % 5 = 0"), with_factors, similar.NUMERIC, similar.CATEGORICAL), 1, "a", "b", "combined").select(F.col("a").alias("item"), F.col("b").alias("id"))
+    near = nearest_train(all_items.where("item % 5 = 0"), with_factors, similar.NUMERIC, similar.CATEGORICAL).select(F.col("a").alias("item"), F.col("b").alias("id"))
     flat = lambda df, p: df.select("id", *[F.get("v", F.lit(i)).alias(f"{p}{i}") for i in range(K)])
     users, items = flat(rows, "u").withColumnRenamed("id", "user"), flat(cols, "i")
     learn = known.select(F.col("row").alias("user"), F.col("col").alias("id"), F.col("value").alias("interest")).join(users, "user").join(items, "id")
