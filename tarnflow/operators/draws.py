@@ -30,14 +30,16 @@ def permuted(x: Column, size: Column, *keys: str | Column) -> Column:
     once = lambda p: F.aggregate(F.sequence(F.lit(0), F.lit(STEPS - 1)), p, lambda s, k: pair(s["right"], (s["left"] + draw(k, s["right"])) % root))
     beyond = F.least(root * root - size, F.lit(WALK).cast("long"))
     more = F.when(beyond > 0, F.sequence(F.lit(1).cast("long"), beyond)).otherwise(F.array().cast("array<long>"))
-    end = F.aggregate(more, once(start(x)), lambda s, _: F.when(value(s) >= size, once(s)).otherwise(s), value)
-    return end
+    walked = lambda p: F.aggregate(more, p, lambda s, _: F.when(value(s) >= size, once(s)).otherwise(s), value)
+    # Nearly all values are there at once.
+    return F.get(F.transform(F.array(once(start(x))), lambda p: F.when(value(p) < size, value(p)).otherwise(walked(p))), F.lit(0))
 
 
 def _firsts(df: DataFrame, n: int, size: str, *keys: str) -> DataFrame:
     """df with at, the first n values (or all) of a row's permutation, and n, their number from 1."""
     order = F.sequence(F.lit(0).cast("long"), F.least(F.lit(n).cast("long"), F.col(size)) - 1)
-    rows = df.where(F.col(size) > 0).withColumn("i", F.explode(order))
+    # Few small rows become many dear ones, so they are dealt to as many tasks as a shuffle has.
+    rows = df.where(F.col(size) > 0).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).withColumn("i", F.explode(order))
     return rows.withColumn("at", permuted(F.col("i"), F.col(size), *keys)).withColumn("n", F.col("i") + 1).drop("i")
 
 
@@ -66,7 +68,7 @@ def unseen(seen: DataFrame, items: DataFrame, n: int, seed: int = 1) -> DataFram
     known = own.groupBy("user").agg(F.count("*").alias("known"))
     left = pairs.select("user").distinct().join(known, "user", "left").crossJoin(F.broadcast(size)).select("user", (F.col("size") - F.coalesce("known", F.lit(0))).alias("free"))
     draws = _firsts(left.withColumn("seed", F.lit(seed)), n, "free", "seed", "user").select("user", F.col("at").alias("rank"), F.lit(0).cast("long").alias("known"), "n")
-    both = below.withColumn("n", F.lit(None).cast("long")).unionByName(draws)
+    both = below.withColumn("n", F.lit(None).cast("long")).unionByName(written(draws))
     counted = accumulated(both, ["user"], [F.col("rank"), F.col("known").desc()], {"behind": F.col("known")})
     chosen = counted.where("n is not null").select("user", "n", (F.col("rank") + F.col("behind")).alias("remap_id"))
     return chosen.join(number, "remap_id").select("user", F.col("orig_id").alias("item"), "n")
