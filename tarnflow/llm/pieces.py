@@ -386,7 +386,8 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
     some = some.mapInArrow(counted, "w string, n long").where(F.length("w") <= DICTIONARY_CHARS)
     frequent = some.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(DICTIONARY_WORDS).select("w").repartition("w")
     solved = checkpointed(_with_ids(lattice(frequent, pieces, spec), spec)).toArrow().combine_chunks()
-    at_hand = spark.sparkContext.broadcast(Dictionary(*[c.combine_chunks() for c in (solved.column("w"), solved.column("ids"))]))
+    # Broadcasts name their classes, so plain arrays go out: executors need not have this package.
+    at_hand = spark.sparkContext.broadcast(tuple([c.combine_chunks() for c in (solved.column("w"), solved.column("ids"))]))
 
     dealt = in_blocks(read).repartition("block")
 
@@ -394,7 +395,7 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
         words = Words(word, pairs)
         for batch in batches:
             for block, ids, packed in zip(*(batch.column(c) for c in ("block", "doc_ids", "texts")), strict=True):
-                own = Block(words, _parted(packed.as_py(), len(ids)), at_hand.value)
+                own = Block(words, _parted(packed.as_py(), len(ids)), Dictionary(*at_hand.value))
                 new = [own.words[i] for i in own.new.tolist()]
                 for at in range(0, len(new), 10_000):
                     n = len(new[at : at + 10_000])
@@ -408,9 +409,10 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
 
     def assembled(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         doc_ids = blocks.column("doc_ids").combine_chunks().flatten()
-        own = Block(Words(word, pairs), _parted(blocks.column("texts")[0].as_py(), len(doc_ids)), at_hand.value)
+        dictionary = Dictionary(*at_hand.value)
+        own = Block(Words(word, pairs), _parted(blocks.column("texts")[0].as_py(), len(doc_ids)), dictionary)
         order = np.argsort(answers.column("at").to_numpy())
-        return pa.Table.from_arrays([doc_ids, own.ids(at_hand.value, answers.column("ids").combine_chunks().take(pa.array(order)))], ["doc_id", "ids"])
+        return pa.Table.from_arrays([doc_ids, own.ids(dictionary, answers.column("ids").combine_chunks().take(pa.array(order)))], ["doc_id", "ids"])
 
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assembled, "doc_id long, ids array<int>")
 
