@@ -24,8 +24,8 @@ from tarnflow.llm.tables import table
 
 #: Elements without text of the article.
 DROPPED = frozenset(
-    "head title script style noscript template nav footer aside form button select option textarea input label fieldset iframe object embed "
-    "applet svg math canvas audio video map menu dialog frameset noframes datalist".split()
+    "head title script style noscript template nav footer button select option textarea input label iframe object embed "
+    "applet svg canvas audio video map menu dialog frameset noframes datalist".split()
 )
 RAW = frozenset("script style textarea title noscript iframe noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -51,6 +51,8 @@ MARKS = frozenset(
     "newsletter signup login popup modal overlay paywall disclaimer skip search searchform complementary contentinfo dialog form".split()
 )
 COMMENTS = frozenset("comment comments commentlist reply replies".split())
+#: Elements that are marked by their name: they can be a page's frame as well as a part beside the text.
+FRAMES = frozenset("form fieldset aside header".split())
 #: Articles below these are not the page's own.
 OTHERS = COMMENTS | frozenset("related recommended recommendations".split())
 #: Marks that also name parts of a text: they count as whole names only, and not within an article.
@@ -195,7 +197,9 @@ def tree(page: str) -> Node:
             if up.tag == "p":
                 up_to(up.parent)
         marks = frozenset() if name in WHOLE else marks_of(attributes, COMMENTS if name == "article" else MARKS, at.within)
-        if name in DROPPED or marks is None or name == "header" and not at.within:
+        if marks is not None and name in FRAMES and not (name == "header" and at.within):
+            marks |= {name}
+        if name in DROPPED or marks is None:
             if name != "head":
                 skipped, inside = [name], Counter([name])
             continue
@@ -249,7 +253,7 @@ def measure(root: Node) -> list[Node]:
 def without_marked(root: Node) -> None:
     """Takes marked elements out, but for those that are or hold the page's article, main part or headline, or most of its unlinked text.
 
-    Articles of comments and of related pages are not the page's. If nothing would be left, nothing is taken out.
+    A header outside the article isn't kept for a headline, which may be the site's. Articles of comments and of related pages are not the page's. If nothing would be left, nothing is taken out.
     """
     nodes = measure(root)
     if not any(n.marks for n in nodes):
@@ -269,7 +273,7 @@ def without_marked(root: Node) -> None:
                 articles.add(id(node.parent))
 
     def stays(n: Node) -> bool:
-        if not n.marks or id(n) in own or n.marks.isdisjoint(OTHERS) and id(n) in articles:
+        if not n.marks or id(n) in own and "header" not in n.marks or n.marks.isdisjoint(OTHERS) and id(n) in articles:
             return True
         return n.marks.isdisjoint(COMMENTS) and (n.chars - n.link_chars) * 2 > text
 
