@@ -30,7 +30,12 @@ SHORT_BYTES = 8_000
 RIDGE = 1e-2
 SHARP = 6.0
 UNKNOWN = "und"
+#: What may be a letter: signs such as fractions and encircled numbers are among these, too.
 LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
 #: n-gram codes are found in an open table of this many bits by their hash.
 TABLE_BITS = 20
 BLOCK = 1 << 19
@@ -173,7 +178,7 @@ def predict(df: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
                 part = batch.slice(at, stop + 1 - at)
                 at = stop + 1
                 texts = [t or "" for t in part.column(text).to_pylist()]
-                known = [bool(model.langs) and LETTER.search(t) is not None for t in texts]
+                known = [bool(model.langs) and has_letter(t) for t in texts]
                 lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if any(known):
                     own = [i for i, k in enumerate(known) if k]

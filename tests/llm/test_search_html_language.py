@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnflow.llm.html import Node, extract, main_text, measure, tree
-from tarnflow.llm.langid import codes, fitted, gram_sets, held_out, op8_language, predict, train, training_sample
+from tarnflow.llm.langid import codes, fitted, gram_sets, has_letter, held_out, op8_language, predict, train, training_sample
 from tarnflow.llm.neighbours import Codes, nearest, probes
 
 # Nearest vectors.
@@ -117,6 +117,14 @@ def test_hidden_is_an_attribute_of_its_own():
     assert main_text(f"<body><div hidden><p>no</p></div><div aria-hidden=true>no</div><div style='display: none'>no</div><p>{LONG}</p></body>") == LONG.strip()
 
 
+def test_frames_around_the_page_leave_it():
+    text = main_text(PAGE)
+    for name, attributes in (("form", "id=aspnetForm"), ("form", ""), ("fieldset", ""), ("aside", ""), ("header", "")):
+        framed = PAGE.replace("<body>", f"<body><{name} {attributes}>").replace("</body>", f"</{name}></body>")
+        assert framed != PAGE and main_text(framed) == text
+    assert "Let x be" in main_text(f"<article><p>Let <math><mi>x</mi></math> be. {LONG}</p></article>")
+
+
 def test_densities_equal_their_definition():
     """Each node's counts and densities anew, from all of its descendants."""
     root = tree(PAGE.replace("<form>", f"<div><a href=q>{LONG}</a><p>{LONG}</p></div><form>"))
@@ -219,6 +227,10 @@ def test_a_language_of_long_texts_only_is_learned(spark):
     assert {r.doc_id: r.lang_pred for r in predict(df, fitted(df)).collect()} == {i: g for i, _, g in rows}
 
 
+def test_signs_that_are_no_letters():
+    assert not any(map(has_letter, ("", "½ ² ①", "12_3 ⅷ", "!?"))) and all(map(has_letter, ("½ a", "é", "字", "ªb")))
+
+
 def test_nothing_learned(spark):
     df = spark.createDataFrame([(1, "text"), (None, None)], "doc_id long, text string")
     assert {r.lang_pred for r in predict(df, train([])).collect()} == {"und"}
