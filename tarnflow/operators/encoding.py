@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnflow.functions.scores import drawn
+from tarnflow.operators.ranges import accumulated
 
 
 def translated(df: DataFrame, columns: list[str], words: DataFrame) -> DataFrame:
@@ -23,9 +24,26 @@ def translated(df: DataFrame, columns: list[str], words: DataFrame) -> DataFrame
     return df.toDF(*[c.lower() for c in df.columns])
 
 
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row: values, the exact quantiles at the ascending shares, by linear interpolation; an empty array without values.
+
+    Equal values are counted first, then the counts are summed in ranges of the values; only the few values that stand at the
+    wanted places go on. So no buffer holds the column.
+    """
+    counts = df.select(F.col(column).cast("double").alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+    counts = accumulated(counts, [], [F.col("value")], {"upto": F.col("n")}, {"upto": "all"})
+    place = lambda share: share * (F.col("all") - 1)
+    at = lambda x: (x >= F.col("upto") - F.col("n")) & (x < F.col("upto"))
+    ends = F.array(*[F.struct(F.lit(i).alias("i"), (place(F.lit(s)) - F.floor(place(F.lit(s)))).alias("part"), at(F.floor(place(F.lit(s)))).alias("low"), at(F.ceil(place(F.lit(s)))).alias("high")) for i, s in enumerate(shares)])
+    wanted = counts.select("value", F.inline(F.filter(ends, lambda e: e["low"] | e["high"])))
+    few = wanted.groupBy("i", "part").agg(F.max(F.when(F.col("low"), F.col("value"))).alias("low"), F.max(F.when(F.col("high"), F.col("value"))).alias("high"))
+    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high"))
+    return few.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", value.alias("value")))), lambda x: x["value"]).alias("values"))
+
+
 def quantile_edges(df: DataFrame, column: str, q: int) -> DataFrame:
     """One row: edges, the q + 1 equal-frequency edges by linear interpolation, without repeats."""
-    return df.agg(F.array_distinct(F.percentile(F.col(column).cast("double"), F.array(*[F.lit(i / q) for i in range(q + 1)]))).alias("edges"))
+    return quantiles(df, column, [i / q for i in range(q + 1)]).select(F.array_distinct("values").alias("edges"))
 
 
 def bin_of(x: Column, edges: Column) -> Column:
@@ -47,7 +65,7 @@ def qcut(df: DataFrame, column: str, q: int, out: str, missing: int | None = Non
 
 def graded(df: DataFrame, column: str, out: str, shares: tuple[float, float] = (0.5, 0.9)) -> DataFrame:
     """Relevance 0, 1 or 2 by two percentiles of the column."""
-    limits = df.agg(F.percentile(F.col(column), F.array(*map(F.lit, shares))).alias("limits"))
+    limits = quantiles(df, column, list(shares)).withColumnRenamed("values", "limits")
     at = lambda i: F.get("limits", F.lit(i))
     return df.crossJoin(F.broadcast(limits)).withColumn(out, F.when(F.col(column) <= at(0), 0).when(F.col(column) <= at(1), 1).otherwise(2)).drop("limits")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarnflow.functions.scores import drawn, whole_days
+from tarnflow.operators.ranges import placed
 
 TEST, VALID, TRAIN = 0, 1, 2
 
@@ -62,9 +63,14 @@ def at_random(df: DataFrame, keys: list[str], share: float, seed: int = 1) -> Da
 
 
 def stratified(df: DataFrame, by: str, keys: list[str], share: float, seed: int = 1) -> DataFrame:
-    """df with dset: the share of each stratum trains, to the row."""
-    order = Window.partitionBy(by).orderBy(drawn(seed, *keys), *keys)
-    return df.withColumn("dset", F.when(F.percent_rank().over(order) < share, TRAIN).otherwise(TEST))
+    """df with dset: the share of each stratum trains, to the row; rows of equal keys stay together, with the first of them.
+
+    A stratum is as many ranges of its draws as it fills, so few large strata spread over all tasks.
+    """
+    rows = placed(df.withColumn("__draw", drawn(seed, *keys)), [by], [F.col("__draw"), *map(F.col, keys)], "__place", "__size")
+    first = F.min("__place").over(Window.partitionBy(by, *keys))
+    percent = F.coalesce(F.try_divide((first - 1).cast("double"), F.col("__size") - 1), F.lit(0.0))
+    return rows.withColumn("dset", F.when(percent < share, TRAIN).otherwise(TEST)).drop("__draw", "__place", "__size")
 
 
 def folds(df: DataFrame, keys: list[str], k: int = 3, seed: int = 1) -> DataFrame:

@@ -118,7 +118,7 @@ def split_per_user(s, d):
     return longs(S.per_user(G.pairs(s, d)), "dset")
 
 
-@query('SELECT "user", item FROM pu WHERE dset = 0 AND item IN (SELECT item FROM pu WHERE dset = 2)', PER_USER)
+@query('SELECT p."user", p.item FROM pu p JOIN kn USING (item) WHERE p.dset = 0', PER_USER + ", kn AS MATERIALIZED (SELECT DISTINCT item FROM pu WHERE dset = 2)")
 def held_out_known_items(s, d):
     p = S.per_user(G.pairs(s, d)).select("user", "item", "dset")
     return S.known_items(p.where("dset = 0"), p.where("dset = 2")).select("user", "item")
