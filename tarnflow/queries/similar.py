@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnflow.operators import graph as Gr
+from tarnflow.operators import products as Pd
 from tarnflow.operators import pruned as Pr
 from tarnflow.operators import similarity as Si
 from tarnflow.plans import recommenders as R
@@ -181,6 +182,16 @@ def embedding_knn(s, d):
     return longs(out, "place").withColumn("similarity", F.round("similarity", 6))
 
 
+@query("""SELECT id, neighbour, round(similarity, 6) AS similarity, CAST(place AS BIGINT) AS place FROM (SELECT q.vec_id AS id, o.vec_id AS neighbour, list_cosine_similarity(q.embedding::DOUBLE[], o.embedding::DOUBLE[]) AS similarity,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], o.embedding::DOUBLE[]), 9) DESC, o.vec_id) AS place
+FROM embeddings q JOIN embeddings o ON q.vec_id <> o.vec_id JOIN ti ON ti.id = o.vec_id AND title IS NOT NULL) WHERE place <= 10""", TITLES)
+def embedding_knn_all(s, d):
+    """Every vector asks for its ten nearest with a title."""
+    e = G.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    titled = e.join(G.items(s, d).where("item % 3 <> 0 and brand is not null").select(F.col("item").alias("id")), "id", "left_semi")
+    return longs(Pd.neighbours(e, titled, 10), "place").withColumn("similarity", F.round("similarity", 6))
+
+
 @query("SELECT sum(CASE WHEN title IS NULL THEN 1 ELSE 0 END)::BIGINT AS without_title, count(title) AS with_title FROM embeddings LEFT JOIN ti ON id = vec_id", TITLES)
 def title_coverage(s, d):
     titles = G.items(s, d).where("item % 3 <> 0").select(F.col("item").alias("vec_id"))

@@ -10,6 +10,7 @@ from tarnflow.operators import factors as Fa
 from tarnflow.operators import graph as Gr
 from tarnflow.operators import interactions as I
 from tarnflow.operators import models as Mo
+from tarnflow.operators import products as Pd
 from tarnflow.operators.metrics import average_precision
 from tarnflow.operators.pruned import nearest_train
 from tarnflow.operators.splits import at_random, hashed_negatives
@@ -197,6 +198,14 @@ def dot_topk(s, d):
     return longs(Fa.dot_scores(u, i, G.purchases(s, d), 10), "rank").select("user", "item", "rank", "score")
 
 
+@query("""SELECT "user", item, CAST(rank AS BIGINT) AS rank, score FROM (SELECT u."user", i.item, CAST(u."user" % 7 * (i.item % 7) + u."user" % 11 * (i.item % 11) AS DOUBLE) AS score, row_number() OVER (PARTITION BY u."user" ORDER BY u."user" % 7 * (i.item % 7) + u."user" % 11 * (i.item % 11) DESC, i.item) AS rank
+FROM users u CROSS JOIN items i ANTI JOIN pairs p ON p."user" = u."user" AND p.item = i.item) WHERE rank <= 10""")
+def dot_topk_bounded(s, d):
+    """All users against the whole catalogue, without what they have bought; blocks of items that can't reach a user's ten best are left out."""
+    u, i = fixed_factors(G.users(s, d), "user"), fixed_factors(G.items(s, d), "item")
+    return longs(Pd.top_products(u, i, 10, G.pairs(s, d)), "rank").select("user", "item", "rank", "score")
+
+
 @query('SELECT item AS value, [CAST((r - 1) % 7 AS DOUBLE), CAST((r - 1) % 11 AS DOUBLE)] AS v FROM (SELECT item, row_number() OVER (ORDER BY item) AS r FROM items)')
 def factors_recovered(s, d):
     mapping = E.contiguous_ids(G.items(s, d), "item")
