@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm.shared import checkpointed, let
+from tarnflow.llm.shared import checkpointed, give_back, let
 from tarnflow.llm.tables import table
 from tarnflow.llm.tokens import BLANK, CHUNK, MODEL
 
@@ -397,9 +397,12 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
             for block, ids, packed in zip(*(batch.column(c) for c in ("block", "doc_ids", "texts")), strict=True):
                 own = Block(words, _parted(packed.as_py(), len(ids)), Dictionary(*at_hand.value))
                 new = [own.words[i] for i in own.new.tolist()]
+                del own
                 for at in range(0, len(new), 10_000):
                     n = len(new[at : at + 10_000])
                     yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * n, pa.int64()), pa.array(range(at, at + n), pa.int32()), pa.array(new[at : at + n], pa.string())], ["block", "at", "w"])
+                del new
+                give_back()
 
     need = dealt.mapInArrow(asked, "block long, at int, w string").repartition("w")
     # Reading every column, and leaving nothing out, keeps both uses of need the same for Spark, so words are asked for once.
@@ -412,7 +415,10 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
         dictionary = Dictionary(*at_hand.value)
         own = Block(Words(word, pairs), _parted(blocks.column("texts")[0].as_py(), len(doc_ids)), dictionary)
         order = np.argsort(answers.column("at").to_numpy())
-        return pa.Table.from_arrays([doc_ids, own.ids(dictionary, answers.column("ids").combine_chunks().take(pa.array(order)))], ["doc_id", "ids"])
+        made = pa.Table.from_arrays([doc_ids, own.ids(dictionary, answers.column("ids").combine_chunks().take(pa.array(order)))], ["doc_id", "ids"])
+        del own
+        give_back()
+        return made
 
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assembled, "doc_id long, ids array<int>")
 
