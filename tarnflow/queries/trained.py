@@ -72,12 +72,13 @@ def cells(s, d):
     return i.select(F.col("user").alias("row"), F.col("item").alias("col"), F.col("interest").alias("value"))
 
 
-K = 4
+#: Factors, passes over the samples at most, batches of a pass, and the share of the first loss below which a pass changes little.
+K, PASSES, BATCHES, LITTLE = 8, 6, 2, 0.001
 
 
 @query()
 def nmf_factors(s, d):
-    rows, cols = Fa.nmf(cells(s, d), K, 5)
+    rows, cols = Fa.nmf(cells(s, d), K, PASSES, tolerance=0.001)
     return rows.withColumn("side", F.lit("row")).unionByName(cols.withColumn("side", F.lit("col")))
 
 
@@ -85,7 +86,7 @@ def nmf_factors(s, d):
 def nmf_gbt_recs(s, d):
     """Boosted trees on both sides' factors; a new item has those of the train item nearest to it."""
     known = cells(s, d).where("col % 5 <> 0")
-    rows, cols = Fa.nmf(known, K, 5)
+    rows, cols = Fa.nmf(known, K, PASSES, tolerance=0.001)
     all_items = G.items(s, d)
     with_factors = all_items.join(cols.select(F.col("id").alias("item")), "item", "left_semi")
     near = nearest_train(all_items.where("item % 5 = 0"), with_factors, similar.NUMERIC, similar.CATEGORICAL).select(F.col("a").alias("item"), F.col("b").alias("id"))
@@ -117,14 +118,14 @@ def samples(s, d):
 @query()
 def gmf_scores(s, d):
     rows = samples(s, d)
-    users, items, w, b, _ = Fa.gmf(rows, K, 3)
+    users, items, w, b, _ = Fa.gmf(rows, K, PASSES, batches=BATCHES, tolerance=LITTLE)
     return Fa.gmf_scores(rows.select("user", "item"), users, items, w, b).select("user", "item", "score")
 
 
 @query()
 def mlp_scores(s, d):
     rows = samples(s, d)
-    users, items, *_ = Fa.gmf(rows, K, 2)
+    users, items, *_ = Fa.gmf(rows, K, PASSES, batches=BATCHES, tolerance=LITTLE)
     return Mo.mlp_scores(Mo.mlp(rows, users, items, [8], 5), rows.select("user", "item"), users, items).select("user", "item", "score")
 
 
@@ -132,12 +133,33 @@ def mlp_scores(s, d):
 def bpr_scores(s, d):
     pairs = G.pairs(s, d)
     triplets = hashed_negatives(pairs, E.contiguous_ids(G.items(s, d), "item"), 1).select("user", "positive", F.col("item").alias("negative"))
-    users, items, _ = Fa.bpr(Fa.kept(triplets), K, 3)
+    users, items, _ = Fa.bpr(Fa.kept(triplets), K, PASSES, batches=BATCHES, tolerance=LITTLE)
     u, i = users.select(F.col("id").alias("user"), "v"), items.select(F.col("id").alias("item"), F.col("v").alias("w"))
     product = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
     return pairs.join(u, "user").join(i, "item").select("user", "item", product.alias("score"))
 
 
+#: Two factors that follow from the ids, output weights and a bias.
+GIVEN_W, GIVEN_B = [0.03, -0.02], 0.1
+
+
+@query(f"""SELECT "user", item, round(1 / (1 + exp(-({GIVEN_W[0]} * ("user" % 7) * (item % 7) + {GIVEN_W[1]} * ("user" % 11) * (item % 11) + {GIVEN_B}))), 6) AS score FROM pairs""")
+def gmf_scores_given(s, d):
+    p = G.pairs(s, d)
+    u, i = fixed_factors(p.select("user").distinct(), "user"), fixed_factors(p.select("item").distinct(), "item")
+    return Fa.gmf_scores(p, u, i, GIVEN_W, GIVEN_B).select("user", "item", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT "user", positive, negative, round(ln(1 + exp(-(("user" % 7) * (positive % 7 - negative % 7) + ("user" % 11) * (positive % 11 - negative % 11)) / 10.0)), 6) AS loss FROM (SELECT "user", item AS positive, item % 50 + 1 AS negative FROM pairs)""")
+def bpr_loss_given(s, d):
+    """The pairwise loss of given factors, a tenth of those by id, for each bought item and another one."""
+    p = G.pairs(s, d).select("user", F.col("item").alias("positive"), (F.col("item") % 50 + 1).alias("negative"))
+    u = fixed_factors(p.select("user").distinct(), "user").select(F.col("id").alias("user"), "v")
+    both = p.select(F.explode(F.array("positive", "negative")).alias("id")).distinct()
+    i = fixed_factors(both, "id").select("id", F.transform("v", lambda x: x / 10).alias("w"))
+    return Fa.bpr_losses(p, u.select(F.col("user").alias("id"), "v"), i.select("id", F.col("w").alias("v"))).select("user", "positive", "negative", F.round("loss", 6).alias("loss"))
+
+
 @query('SELECT "user", item, round(1 / (1 + exp(-((size - 25) / 10.0 + (price - 1000) / 500) / 2)), 6) AS score FROM pairs JOIN items USING (item)')
 def fusion_scores(s, d):
     base = G.pairs(s, d).join(G.items(s, d), "item")

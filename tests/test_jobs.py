@@ -111,6 +111,20 @@ def test_losses_fall(spark, log):
     assert losses == sorted(losses, reverse=True)
 
 
+def test_batches_learn_and_training_ends(spark, log):
+    random.seed(8)
+    pairs = [(u, i) for u in range(30) for i in range(20) if random.random() < 0.8]
+    samples = spark.createDataFrame([(u, i, float(u % 2 == i % 2)) for u, i in pairs], "user long, item long, label double").cache()
+    users, items, w, b, losses = Fa.gmf(samples, 4, 14, tolerance=0.002)
+    assert len(losses) < 14 and losses[0] > 0.65 and losses[-1] < 0.05
+    scored = Fa.gmf_scores(samples.select("user", "item"), users, items, w, b).join(samples, ["user", "item"])
+    assert scored.where((F.col("score") > 0.5) == (F.col("label") > 0.5)).count() > 0.95 * len(pairs)
+    triplets = samples.where("label = 1").select("user", F.col("item").alias("positive"), ((F.col("item") + 1) % 20).alias("negative"))
+    losses = Fa.bpr(triplets, 4, 3, batches=2)[-1]
+    assert len(losses) == 3 and losses == sorted(losses, reverse=True) and losses[-1] < 0.6
+    assert Fa.gmf(samples.limit(0), 2, 2)[-1] == [0.0, 0.0]
+
+
 def test_propagation_equals_numpy(spark):
     pairs = spark.createDataFrame([(1, 1), (1, 2), (2, 2)], "user long, item long")
     adj = Gr.adjacency(pairs, "norm")
