@@ -73,7 +73,7 @@ def cells(s, d):
 
 
 #: Factors, passes over the samples at most, batches of a pass, and the share of the first loss below which a pass changes little.
-K, PASSES, BATCHES, LITTLE = 8, 6, 2, 0.001
+K, PASSES, BATCHES, LITTLE = 8, 4, 2, 0.001
 
 
 @query()
