@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnflow.operators import graph as Gr
+from tarnflow.operators import nearest as Ne
 from tarnflow.operators import products as Pd
 from tarnflow.operators import pruned as Pr
 from tarnflow.operators import similarity as Si
@@ -69,6 +70,37 @@ def dist_combined(s, d):
     return mixed(s, d).select("a", "b", F.round("combined", 6).alias("combined"))
 
 
+def near_sql(distance, of):
+    """The ten nearest train items of each new one."""
+    return f"SELECT a, b, round({distance}, 6) AS distance, CAST(place AS BIGINT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round({distance}, 9), b) AS place FROM {of}) WHERE place <= 10"
+
+
+def near_rows(df):
+    return longs(df, "place").withColumn("distance", F.round("distance", 6))
+
+
+@query(near_sql("cosine", "dist"), SMALL)
+def near_cosine(s, d):
+    new, train = (x.withColumn("price", F.col("price") / 100) for x in both_sides(s, d))
+    return near_rows(Ne.cosine_nearest(new, train, NUMERIC, CATEGORICAL))
+
+
+@query(near_sql("euclidean", "dist"), SMALL)
+def near_euclidean(s, d):
+    new, train = (x.withColumn("price", F.col("price") / 100) for x in both_sides(s, d))
+    return near_rows(Ne.euclidean_nearest(new, train, NUMERIC, CATEGORICAL))
+
+
+@query(near_sql("j", "cb"), MIXED)
+def near_jaccard(s, d):
+    return near_rows(Ne.jaccard_nearest(*both_sides(s, d), CATEGORICAL))
+
+
+@query(near_sql("c", "cb"), MIXED)
+def near_combined(s, d):
+    return near_rows(Ne.combined_nearest(*both_sides(s, d), NUMERIC, CATEGORICAL))
+
+
 @query("""SELECT a, b, 'new' AS side FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(c, 6), b) AS r FROM cb) WHERE r = 1
 UNION ALL SELECT a, b, 'train' FROM (SELECT a, b, row_number() OVER (PARTITION BY b ORDER BY round(c, 6), a) AS r FROM cb) WHERE r = 1""", MIXED)
 def nearest_item_map(s, d):
