@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import public_tokenizers
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarnflow.llm import pieces as P
-from tarnflow.llm.decontaminate import MASKS, MIN_SHARE, MIN_TOKENS, contaminated
+from tarnflow.llm.decontaminate import MASKS, MIN_SHARE, MIN_TOKENS, asked, contaminated, parts
 
 # Decontamination.
 
@@ -123,6 +124,39 @@ def test_one_run_counts_beside_others(spark):
     assert {r.doc_id for r in rows} == {1, 2, 3} and all(r.n_kept >= MIN_SHARE * (r.token_end - r.token_start) for r in rows)
 
 
+def test_short_items_with_replaced_words(spark):
+    rng = random.Random(5)
+    items = [(n, [f"i{n}x{i}" for i in range(n)]) for n in range(1, 15)]
+    docs = []
+    for n, item in items:
+        for replaced in range(4):
+            for _ in range(6):
+                out = rng.sample(range(n), min(replaced, n))
+                docs.append((len(docs), n, replaced, ["x"] * rng.randint(0, 3) + ["new" if i in out else w for i, w in enumerate(item)] + ["y"]))
+    given = spark.createDataFrame([(i, " ".join(d)) for i, _, _, d in docs], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_kept for r in contaminated(given, spark.createDataFrame([(n, " ".join(w)) for n, w in items], "item_id long, text string"), short_share=0.8).collect()}
+    want = {}
+    for i, n, replaced, d in docs:
+        item = dict(items)[n]
+        at = next((j for j in range(4) if any(j + k < len(d) and d[j + k] == w for k, w in enumerate(item)) and len(d) == j + n + 1), None)
+        same = [d[at + k] == w for k, w in enumerate(item)] if at is not None else []
+        kept = [(3 * sum(same[a:b]) - 2 * (b - a), sum(same[a:b])) for a in range(n) for b in range(a + 1, n + 1) if same and sum(same[a:b]) >= max(MIN_SHARE * (b - a), n if n < 8 else -(-8 * n // 10) if n <= 13 else MIN_TOKENS)]
+        if kept:
+            want[i, n] = max(kept)[1]
+    assert got == want and any(n == 10 and replaced == 1 for i, n, replaced, _ in docs if (i, n) in got)
+    assert all(min(size for _, size in parts(n, 0.8)) >= 3 and asked(n, 1.0) == n for n in range(8, 14))
+
+
+def test_thin_long_overlaps_end(spark):
+    rng = random.Random(6)
+    item = [f"i{n}" for n in range(4000)]
+    doc = [w if rng.random() < 0.7 else "new" for w in item]
+    begun = time.time()
+    rows = contaminated(spark.createDataFrame([(1, " ".join(doc))], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert len(rows) == 1 and rows[0].n_kept >= MIN_SHARE * (rows[0].token_end - rows[0].token_start)
+    assert time.time() - begun < 60
+
+
 def test_no_enough_stretch_escapes_the_masks():
     """Walks all stretches of up to 300 tokens without an accepted window: by the last 7 tokens, the most kept for each number of replaced."""
     masks = [[len(m) - 1 - i for i, c in enumerate(m) if c == "1"] for m in MASKS]
