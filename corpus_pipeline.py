@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnflow.llm.decontaminate import contaminated
+from tarnflow.llm.decontaminate import SHORT_SHARE, contaminated
 from tarnflow.llm.jaccard import similar
 from tarnflow.llm.langid import UNKNOWN, fitted, predict
 from tarnflow.llm.pieces import encode
@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that hold a passage of a benchmark item."""
-    bad = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("bad_id")).distinct()
+    bad = contaminated(docs, table(spark, sf_dir, "benchmark"), short_share=SHORT_SHARE).select(F.col("doc_id").alias("bad_id")).distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
 
 
