@@ -10,14 +10,13 @@ two symbols. The current ends of symbols are a bit mask, of longer words an arra
 
 Words are encoded once each. A dictionary of bounded size, of words frequent in a part of the documents,
 goes to all tasks; for other words, each block of documents asks once. It only saves shuffling. Texts
-are shuffled once, as compressed blocks.
+are cut into words once; blocks of them are shuffled once, as compressed numbers of their words.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, pairwise
 
 import numpy as np
@@ -228,11 +227,19 @@ class Words:
         self.marks = frozenset(c for c in PUNCTUATION if self.word.findall(f"{BLANK}a{c}") == [f"{BLANK}a", c])
 
     @staticmethod
-    def chunks(text: str | None) -> list[str]:
-        """Parts of a text between single blanks, each with the blank before it; line breaks with what follows them. A text with runs of blanks has its blanks written out."""
-        if not text:
-            return []
-        return CHUNK.findall(BLANK + text.replace(" ", BLANK)) if text[0] == " " or "  " in text or BLANK in text else text.replace("\n", " \n").split(" ")
+    def chunks(texts: pa.Array) -> pa.ListArray:
+        """Parts of each text between single blanks, each with the blank before it; line breaks with what follows them. A text with runs of blanks has its blanks written out."""
+        texts = texts.cast(pa.string())
+        runs = pc.or_(pc.starts_with(texts, " "), pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, BLANK)))
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        # Texts with runs, and empty ones, have other lists. (if_else would do, but garbles slices of strings in pyarrow 23.)
+        rows = np.flatnonzero(pc.fill_null(pc.or_(runs, pc.equal(texts, "")), False).to_numpy(zero_copy_only=False))
+        if not len(rows):
+            return lists
+        order = np.arange(len(texts))
+        order[rows] = len(texts) + np.arange(len(rows))
+        written = [CHUNK.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts.take(pa.array(rows)).to_pylist()]
+        return pa.concat_arrays([lists, pa.array(written, lists.type)]).take(pa.array(order))
 
     def of(self, chunk: str) -> list[str] | tuple[str, ...]:
         if len(chunk) < BITS:
@@ -250,42 +257,41 @@ class Words:
         return [word[a:b] for a, b in pairwise(at)]
 
 
-class Numbers(dict):
-    """Numbers of strings, in the order in which they were first asked for."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = n = len(self)
-        return n
-
-    def of(self, strings: Iterable[str]) -> array:
-        return array("i", map(self.__getitem__, strings))
-
-
-class Block:
-    """Texts as numbers of their chunks, and chunks as numbers of their words; the same whenever a block is read."""
-
-    def __init__(self, words: Words, texts: list[str | None], dictionary: Dictionary):
-        chunks, numbers = Numbers(), Numbers()
-        self.texts = [chunks.of(words.chunks(t)) for t in texts]
-        by_chunk = [words.of(c) for c in chunks]
-        self.chunks, self.counts = np.asarray(numbers.of(chain.from_iterable(by_chunk))), np.array([len(w) for w in by_chunk], np.int32)
-        self.words = list(numbers)
-        self.places = dictionary.places(self.words)
-        self.new = np.flatnonzero(self.places < 0)
-
-    def ids(self, dictionary: Dictionary, answers: pa.ListArray) -> pa.ListArray:
-        """Ids of each text, from those of the words that aren't in the dictionary, in their order."""
-        known = np.flatnonzero(self.places >= 0)
-        lists = pa.concat_arrays([answers, dictionary.ids.take(pa.array(self.places[known]))])
-        row = np.empty(len(self.words), np.int32)
-        row[self.new], row[known] = np.arange(len(self.new)), len(self.new) + np.arange(len(known))
-        flat, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-        chunk = np.concatenate([np.zeros(0, np.int32), *(np.asarray(t) for t in self.texts)])
-        word = row[self.chunks[_spread(_starts(self.counts)[chunk], self.counts[chunk])]]
-        ids = flat[_spread(_starts(lengths)[word], lengths[word])]
-        per_chunk = np.add.reduceat(lengths[row[self.chunks]], _starts(self.counts)) if len(self.counts) else np.zeros(0, np.int32)
-        ends = np.concatenate([[0], np.cumsum(per_chunk[chunk])])[np.cumsum([0, *map(len, self.texts)])]
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+def _places(strings: pa.Array, dictionary: pa.Array) -> np.ndarray:
+    """Where each string is in the dictionary; -1 if it isn't."""
+    return pc.fill_null(pc.index_in(strings, value_set=dictionary), -1).to_numpy().copy()
+
+
+def numbered(words: Words, dictionary: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """How many words each text has, the places of all these words, and the words that aren't in the dictionary, whose places are behind it."""
+    lists = words.chunks(texts)
+    chunks = lists.flatten().dictionary_encode()
+    distinct = chunks.dictionary
+    # A chunk that is a frequent word, with its blank, is this word alone; others are cut.
+    places = _places(pc.binary_join_element_wise(BLANK, distinct, ""), dictionary)
+    places[pc.starts_with(distinct, BLANK).to_numpy(zero_copy_only=False)] = -1
+    others = np.flatnonzero(places < 0)
+    by_chunk = [words.of(c) for c in distinct.take(pa.array(others)).to_numpy(zero_copy_only=False)]
+    parts = pa.array(list(chain.from_iterable(by_chunk)), pa.string()).dictionary_encode()
+    part = _places(parts.dictionary, dictionary)
+    new = np.flatnonzero(part < 0)
+    part[new] = len(dictionary) + np.arange(len(new))
+    counts = np.ones(len(distinct), np.int32)
+    counts[others] = [len(x) for x in by_chunk]
+    of_chunk = np.repeat(places, counts)
+    of_chunk[_spread(_starts(counts)[others], counts[others])] = part[parts.indices.to_numpy()]
+    chunk = chunks.indices.to_numpy()
+    each = counts[chunk]
+    ends = np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy())
+    return np.diff(np.append(0, np.cumsum(each))[ends], prepend=0), of_chunk[_spread(_starts(counts)[chunk], each)], parts.dictionary.take(pa.array(new))
+
+
+def id_lists(counts: np.ndarray, words: np.ndarray, known: pa.ListArray, answers: pa.ListArray) -> pa.ListArray:
+    """Ids of each text, from those of the dictionary and of the other words."""
+    flat, lengths = (np.concatenate([f(x).to_numpy() for x in (known, answers)]) for f in (pc.list_flatten, pc.list_value_length))
+    each = lengths[words]
+    ends = np.append(0, np.cumsum(each))[np.cumsum(np.append(0, counts))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat[_spread(_starts(lengths)[words], each)], pa.int32()))
 
 
 def _starts(lengths: np.ndarray) -> np.ndarray:
@@ -299,57 +305,47 @@ def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return out
 
 
-def _joined(texts: list[str | None]) -> bytes:
-    """Texts as one compressed string, each behind its length; null is -1."""
-    raw = [t.encode() if t is not None else None for t in texts]
-    lengths = np.array([-1 if r is None else len(r) for r in raw], "<i8")
-    return zstandard.ZstdCompressor(level=3).compress(lengths.tobytes() + b"".join(r for r in raw if r))
+def _packed(numbers: Iterable[np.ndarray], more: bytes = b"") -> bytes:
+    """Numbers, all their lowest bytes first, and bytes, compressed."""
+    planes = (x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for x in numbers)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([*planes, more]))
 
 
-def _parted(packed: bytes, n: int) -> list[str | None]:
-    raw = zstandard.ZstdDecompressor().decompress(packed)
-    out, at = [], 8 * n
-    for length in np.frombuffer(raw[: 8 * n], "<i8").tolist():
-        out.append(None if length < 0 else raw[at : at + length].decode())
-        at += max(length, 0)
-    return out
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int32)
 
 
-def in_blocks(read: DataFrame) -> DataFrame:
-    """(block, doc_ids, texts): runs of a task's rows, of BLOCK_BYTES or one text more; so rows of any id spread alike."""
-    bound = BLOCK_BYTES
+def in_blocks(read: DataFrame, begin: Callable[[], Callable[[pa.Array], list[pa.Array]]] | None = None, columns: str = "") -> DataFrame:
+    """(block, doc_ids, columns): runs of a task's rows, of BLOCK_BYTES or one text more; so rows of any id spread alike.
+
+    In each task, begin() returns what makes the columns of a block's texts.
+    """
+    bound, schema = BLOCK_BYTES, "block long, doc_ids array<long>" + (columns and f", {columns}")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, ids, texts = TaskContext.get().partitionId() << 32, 0, [], []
+        of = begin() if begin else lambda texts: []
+        block, size, held = TaskContext.get().partitionId() << 32, 0, []
 
         def row() -> pa.RecordBatch:
-            columns = [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([_joined(texts)], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "texts"])
+            ids, texts = (pa.concat_arrays([b.column(c) for b in held]) for c in ("doc_id", "text"))
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *of(texts)], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for i, t in zip(*(batch.column(c).slice(at, 256).to_pylist() for c in ("doc_id", "text")), strict=True):
-                    ids.append(i)
-                    texts.append(t)
-                    size += len(t or "")
-                    if size >= bound:
-                        yield row()
-                        block, size, ids, texts = block + 1, 0, [], []
-        if ids:
+            begun = 0
+            for i, n in enumerate(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist(), 1):
+                size += n
+                if size >= bound:
+                    held.append(batch.slice(begun, i - begun))
+                    yield row()
+                    block, size, held, begun = block + 1, 0, [], i
+            if begun < batch.num_rows:
+                # A copy, since a slice would keep the whole batch.
+                held.append(batch.take(pa.array(np.arange(begun, batch.num_rows))))
+        if held:
             yield row()
 
-    return read.mapInArrow(run, "block long, doc_ids array<long>, texts binary")
-
-
-class Dictionary:
-    """Ids of frequent words, as two arrays."""
-
-    def __init__(self, words: pa.Array, ids: pa.Array):
-        self.words, self.ids = words, ids
-
-    def places(self, words: list[str]) -> np.ndarray:
-        """Where each word is; -1 if it isn't."""
-        return pc.fill_null(pc.index_in(pa.array(words, pa.string()), value_set=self.words), -1).to_numpy()
+    return read.mapInArrow(run, schema)
 
 
 def _with_ids(solved: DataFrame, model: Model) -> DataFrame:
@@ -379,30 +375,42 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
         words = Words(word, pairs)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                seen = pa.array([w for t in batch.column("text").slice(at, 512).to_pylist() for c in words.chunks(t) for w in words.of(c)], pa.string()).value_counts()
-                yield pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], ["w", "n"])
+                seen = words.chunks(batch.column("text").slice(at, 512)).flatten().value_counts()
+                by_chunk = [words.of(c) for c in seen.field("values").to_numpy(zero_copy_only=False)]
+                n = np.repeat(seen.field("counts").to_numpy(), [len(x) for x in by_chunk])
+                yield pa.RecordBatch.from_arrays([pa.array(list(chain.from_iterable(by_chunk)), pa.string()), pa.array(n, pa.int64())], ["w", "n"])
 
     some = read.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("words")), F.lit(DICTIONARY_EVERY)) == 0).select("text")
     some = some.mapInArrow(counted, "w string, n long").where(F.length("w") <= DICTIONARY_CHARS)
-    frequent = some.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(DICTIONARY_WORDS).select("w").repartition("w")
-    solved = checkpointed(_with_ids(lattice(frequent, pieces, spec), spec)).toArrow().combine_chunks()
+    frequent = checkpointed(some.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(DICTIONARY_WORDS))
+    solved = checkpointed(_with_ids(lattice(frequent.select("w").repartition("w"), pieces, spec), spec).join(frequent, "w"))
+    # The most frequent words have the least places, which compress best.
+    solved = solved.orderBy(F.desc("n"), "w").select("w", "ids").toArrow().combine_chunks()
     # Broadcasts name their classes, so plain arrays go out: executors need not have this package.
     at_hand = spark.sparkContext.broadcast(tuple([c.combine_chunks() for c in (solved.column("w"), solved.column("ids"))]))
 
-    dealt = in_blocks(read).repartition("block")
+    def begin() -> Callable[[pa.Array], list[pa.Array]]:
+        words = Words(word, pairs)
+
+        def of(texts: pa.Array) -> list[pa.Array]:
+            counts, at, new = numbered(words, at_hand.value[0], texts)
+            packed = _packed([pc.binary_length(new).to_numpy()], "".join(new.to_pylist()).encode()), _packed([counts, at])
+            give_back()
+            return [pa.array([len(new)], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)]
+
+        return of
+
+    dealt = in_blocks(read, begin, "n_new int, new binary, words binary").repartition("block")
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(word, pairs)
         for batch in batches:
-            for block, ids, packed in zip(*(batch.column(c) for c in ("block", "doc_ids", "texts")), strict=True):
-                own = Block(words, _parted(packed.as_py(), len(ids)), Dictionary(*at_hand.value))
-                new = [own.words[i] for i in own.new.tolist()]
-                del own
-                for at in range(0, len(new), 10_000):
-                    n = len(new[at : at + 10_000])
-                    yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * n, pa.int64()), pa.array(range(at, at + n), pa.int32()), pa.array(new[at : at + n], pa.string())], ["block", "at", "w"])
-                del new
-                give_back()
+            for block, n_new, packed in zip(*(batch.column(c).to_pylist() for c in ("block", "n_new", "new")), strict=True):
+                raw = zstandard.ZstdDecompressor().decompress(packed)
+                ends = np.append(0, np.cumsum(_numbers(raw[: 4 * n_new]))).astype(np.int32)
+                new = pa.StringArray.from_buffers(n_new, pa.py_buffer(ends), pa.py_buffer(raw[4 * n_new :]))
+                for at in range(0, n_new, 10_000):
+                    part = new.slice(at, 10_000)
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int64()), pa.array(range(at, at + len(part)), pa.int32()), part], ["block", "at", "w"])
 
     need = dealt.mapInArrow(asked, "block long, at int, w string").repartition("w")
     # Reading every column, and leaving nothing out, keeps both uses of need the same for Spark, so words are asked for once.
@@ -412,13 +420,11 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: s
 
     def assembled(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         doc_ids = blocks.column("doc_ids").combine_chunks().flatten()
-        dictionary = Dictionary(*at_hand.value)
-        own = Block(Words(word, pairs), _parted(blocks.column("texts")[0].as_py(), len(doc_ids)), dictionary)
+        raw, n = zstandard.ZstdDecompressor().decompress(blocks.column("words")[0].as_py()), len(doc_ids)
         order = np.argsort(answers.column("at").to_numpy())
-        made = pa.Table.from_arrays([doc_ids, own.ids(dictionary, answers.column("ids").combine_chunks().take(pa.array(order)))], ["doc_id", "ids"])
-        del own
+        ids = id_lists(_numbers(raw[: 4 * n]), _numbers(raw[4 * n :]), at_hand.value[1], answers.column("ids").combine_chunks().take(pa.array(order)))
         give_back()
-        return made
+        return pa.Table.from_arrays([doc_ids, ids], ["doc_id", "ids"])
 
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(assembled, "doc_id long, ids array<int>")
 

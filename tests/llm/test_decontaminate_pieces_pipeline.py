@@ -3,6 +3,7 @@ import re
 import time
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -211,6 +212,41 @@ def test_words_outside_the_dictionary(spark, monkeypatch):
     assert {r.doc_id: r.ids for r in P.encode(df).collect()} == {r.doc_id: sp.encode(r.text) for r in df.collect()}
 
 
+def test_each_text_is_cut_once(spark, monkeypatch, tmp_path):
+    of, seen = P.Words.of, str(tmp_path / "seen")
+
+    def noted(self, chunk):
+        with open(seen, "a") as f:
+            f.write(f"{chunk}\n")
+        return of(self, chunk)
+
+    monkeypatch.setattr(P.Words, "of", noted)
+    monkeypatch.setattr(P, "DICTIONARY_WORDS", 3)
+    df = spark.createDataFrame([(i, f"the word{i}x and") for i in range(200)], "doc_id long, text string")
+    assert len(P.encode(df).collect()) == 200
+    with open(seen) as f:
+        calls = sum(line.startswith("word") for line in f)
+    # Once each, and those of every DICTIONARY_EVERY-th text for the dictionary.
+    assert 200 <= calls < 260
+
+
+def test_chunks_of_slices_equal_those_of_each_text():
+    texts = [*TEXTS, *(f"é text {i}\nline, ü {i} 日" for i in range(600)), None, "", " a", "b  c", "x▁y"] * 2
+    m = P.Model()
+    words, given, dictionary = P.Words(m.word, m.pairs), pa.array(texts, pa.string()), pa.array(["▁text", "▁", "\n", "▁▁", ",", "▁é"])
+    for at in (0, 7, 400, 610):
+        for n in (0, 1, 300, 700):
+            part = given.slice(at, n)
+            want = []
+            for t in part.to_pylist():
+                written = bool(t) and (t[0] == " " or "  " in t or "▁" in t)
+                want.append(re.findall("\n[^▁\n]*|▁*[^▁\n]+|▁+", "▁" + t.replace(" ", "▁")) if written else t.replace("\n", " \n").split(" ") if t else [])
+            assert [x or [] for x in words.chunks(part).to_pylist()] == want
+            counts, places, new = P.numbered(words, dictionary, part)
+            names, flat = dictionary.to_pylist() + new.to_pylist(), [[w for c in x for w in words.of(c)] for x in want]
+            assert counts.tolist() == [len(x) for x in flat] and [names[i] for i in places] == [w for x in flat for w in x]
+
+
 def test_long_words_stay_in_the_lattice(spark):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(P.MODEL))
     rng = random.Random(4)
