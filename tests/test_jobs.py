@@ -173,3 +173,10 @@ def test_registry():
     from tarnflow.queries import ORACLE_SQL, QUERIES
 
     assert set(ORACLE_SQL) <= set(QUERIES) and len(QUERIES) > 140
+
+
+def test_hashed_negatives_are_written_as_they_are_found(spark, log):
+    """No place that has an unseen item draws again, so nothing is left to shuffle."""
+    items = E.contiguous_ids(spark.range(1, 100_001).withColumnRenamed("id", "item"), "item")
+    h = S.hashed_negatives(log.select("user", "item"), items, 4)
+    assert "Exchange" not in h._jdf.queryExecution().executedPlan().toString()

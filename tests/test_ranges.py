@@ -1,8 +1,9 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
-from tarnflow.operators.ranges import accumulated, placed
+from tarnflow.operators.ranges import FREED, accumulated, filed, placed, written
 
 
 def test_running_sums_of_a_hot_group_and_of_nulls(spark):
@@ -50,3 +51,14 @@ def test_strata_are_cut_to_the_row(spark):
     order = Window.partitionBy("s").orderBy(drawn(1, "k"), "k")
     want = df.withColumn("dset", F.when(F.percent_rank().over(order) < 0.8, 2).otherwise(0))
     assert sorted(stratified(df, "s", ["k"], 0.8).collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    shuffles = spark._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    for write in (written, filed):
+        before, until = shuffles.size(), time.time() + 10
+        rows = write(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+        while shuffles.size() > before and time.time() < until:
+            time.sleep(0.1)
+        assert shuffles.size() <= before and rows.count() == 7
+    assert spark.conf.get(FREED) == "false"
