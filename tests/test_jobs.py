@@ -180,3 +180,19 @@ def test_hashed_negatives_are_written_as_they_are_found(spark, log):
     items = E.contiguous_ids(spark.range(1, 100_001).withColumnRenamed("id", "item"), "item")
     h = S.hashed_negatives(log.select("user", "item"), items, 4)
     assert "Exchange" not in h._jdf.queryExecution().executedPlan().toString()
+
+
+def test_training_in_slices_learns_the_same(spark, monkeypatch):
+    random.seed(3)
+    rows = [(u, i, float(u % 2 == i % 2)) for u in range(12) for i in range(10) if random.random() < 0.8]
+    samples = spark.createDataFrame(rows, "user long, item long, label double").cache()
+    triplets = samples.where("label = 1").select("user", F.col("item").alias("positive"), ((F.col("item") + 1) % 10).alias("negative")).cache()
+    score = lambda users, items: lambda part: Fa.gmf_scores(part, users, items, [1.0, 1.0], 0.0)
+    got = []
+    for size in (Fa.SLICE, 15):
+        monkeypatch.setattr(Fa, "SLICE", size)
+        users, items, *_, losses = Fa.gmf(samples, 2, 1, batches=2)
+        scores = Fa.in_slices(samples.select("user", "item"), ["user", "item"], score(users, items)).orderBy("user", "item").collect()
+        got.append([*losses, *Fa.bpr(triplets, 2, 1, batches=2)[-1], *[r.score for r in scores]])
+        assert [(r.user, r.item) for r in scores] == sorted((u, i) for u, i, _ in rows)
+    assert got[0] == pytest.approx(got[1], abs=1e-12)
