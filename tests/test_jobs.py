@@ -1,5 +1,6 @@
 """Invariants of splits, samples, trained jobs and the stream; small restatements in numpy."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -196,3 +197,18 @@ def test_training_in_slices_learns_the_same(spark, monkeypatch):
         got.append([*losses, *Fa.bpr(triplets, 2, 1, batches=2)[-1], *[r.score for r in scores]])
         assert [(r.user, r.item) for r in scores] == sorted((u, i) for u, i, _ in rows)
     assert got[0] == pytest.approx(got[1], abs=1e-12)
+
+
+def test_exact_negatives_of_few_and_of_nearly_all(spark):
+    """As all pairs in the order of their draws, also where a user has seen nearly everything, and without pairs that are shuffled."""
+    items = spark.range(3000).withColumnRenamed("id", "item")
+    log = spark.createDataFrame([(1, i) for i in range(2995)] + [(2, i) for i in range(3000)] + [(3, 5), (3, 5), (None, 7), (4, -1)], "user long, item long")
+    got = S.negatives(log, items, 10)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    seen = {}
+    for r in log.collect():
+        seen.setdefault(r.user, set()).add(r.item)
+    draw = lambda u, i: hashlib.md5("-".join(map(str, [1, *([] if u is None else [u]), i])).encode()).hexdigest()
+    free = {u: sorted((i for i in range(3000) if u is None or i not in known), key=lambda i: (draw(u, i), i)) for u, known in seen.items()}
+    assert {(r.user, r.item, r.n) for r in got.collect()} == {(u, i, n) for u, own in free.items() for n, i in enumerate(own[:10], 1)}
+    assert got.count() == 35
