@@ -64,6 +64,19 @@ def recommend(model: PipelineModel, frame: DataFrame, k: int = 10) -> DataFrame:
     return top_k(model.transform(frame).select("user", "item", F.round("score", 9).alias("score")), k)
 
 
+def recommend_alike(model: PipelineModel, users: DataFrame, alike: DataFrame, of: DataFrame, k: int = 10) -> DataFrame:
+    """(user, item, score, rank) of all items for the users (user, columns), where items of one id have its columns: alike is (item, id), of is (id, columns).
+
+    Items of one id have one score, so the ids are scored, by their smallest items, and only those of a user's k best ids give
+    items, k each: no other item can be among the first k.
+    """
+    first = alike.groupBy("id").agg(F.min("item").alias("item"))
+    best = recommend(model, users.crossJoin(first.join(of, "id")), k).select("user", F.col("item").alias("first"), "score")
+    few = alike.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("item"))).where(F.col("n") <= k)
+    items = few.join(first.withColumnRenamed("item", "first"), "id").select("first", "item")
+    return top_k(best.join(items, "first").select("user", "item", "score"), k)
+
+
 def als(train: DataFrame, test: DataFrame, rank: int = 8, steps: int = 5, nonnegative: bool = False) -> DataFrame:
     """One row: rmse of predicted ratings on the test pairs that training knows."""
     model = ALS(rank=rank, maxIter=steps, regParam=0.1, userCol="user", itemCol="item", ratingCol="rating", nonnegative=nonnegative, coldStartStrategy="drop", seed=1).fit(train)

@@ -13,7 +13,7 @@ from tarnflow.operators import models as Mo
 from tarnflow.operators import products as Pd
 from tarnflow.operators.metrics import average_precision
 from tarnflow.operators.pruned import nearest_train
-from tarnflow.operators.ranges import filed
+from tarnflow.operators.ranges import filed, written
 from tarnflow.operators.splits import at_random, hashed_negatives
 from tarnflow.plans import recommenders as R
 from tarnflow.queries.data import longs
@@ -86,7 +86,7 @@ def nmf_factors(s, d):
 @query()
 def nmf_gbt_recs(s, d):
     """Boosted trees on both sides' factors; a new item has those of the train item nearest to it."""
-    known = cells(s, d).where("col % 5 <> 0")
+    known = filed(cells(s, d).where("col % 5 <> 0"))
     rows, cols = Fa.nmf(known, K, PASSES, tolerance=0.001)
     all_items = G.items(s, d)
     with_factors = all_items.join(cols.select(F.col("id").alias("item")), "item", "left_semi")
@@ -94,13 +94,15 @@ def nmf_gbt_recs(s, d):
     flat = lambda df, p: df.select("id", *[F.get("v", F.lit(i)).alias(f"{p}{i}") for i in range(K)])
     users, items = flat(rows, "u").withColumnRenamed("id", "user"), flat(cols, "i")
     learn = known.select(F.col("row").alias("user"), F.col("col").alias("id"), F.col("value").alias("interest")).join(users, "user").join(items, "id")
+    learn = filed(learn)  # the trees read it again and again
     names = [f"{p}{i}" for p in "ui" for i in range(K)]
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
 
     model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), Mo.learner("gbt")]).fit(learn)
-    score = I.validation_frame(truth(s, d), near.select("item")).join(near, "item").join(items, "id").join(users, "user")
-    return longs(Mo.recommend(model, score), "rank").select("user", "item", "rank")
+    near = written(near)
+    asking = truth(s, d).join(near.select("item"), "item", "left_semi").select("user").distinct().join(users, "user")
+    return longs(Mo.recommend_alike(model, asking, near, items), "rank").select("user", "item", "rank")
 
 
 @query()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnflow.operators import encoding as E
 from tarnflow.operators import factors as Fa
 from tarnflow.operators import graph as Gr
+from tarnflow.operators import models as Mo
 from tarnflow.operators import similarity as Si
 from tarnflow.operators import splits as S
 from tarnflow.plans import recommenders as R
@@ -212,3 +213,20 @@ def test_exact_negatives_of_few_and_of_nearly_all(spark):
     free = {u: sorted((i for i in range(3000) if u is None or i not in known), key=lambda i: (draw(u, i), i)) for u, known in seen.items()}
     assert {(r.user, r.item, r.n) for r in got.collect()} == {(u, i, n) for u, own in free.items() for n, i in enumerate(own[:10], 1)}
     assert got.count() == 35
+
+
+def test_items_with_the_factors_of_one_are_scored_once(spark):
+    from pyspark.sql.types import DoubleType
+
+    class Model:
+        def transform(self, frame):
+            rows.append(frame.count())
+            return frame.withColumn("score", F.round(F.col("u") * F.col("i"), 1).cast(DoubleType()))
+
+    rows = []
+    users = spark.createDataFrame([(u, u / 7) for u in range(5)], "user long, u double")
+    alike = spark.createDataFrame([(i, i * i % 13) for i in range(200)], "item long, id long")
+    of = spark.createDataFrame([(i, (i * 5 % 7) / 3) for i in range(13)], "id long, i double")
+    got = Mo.recommend_alike(Model(), users, alike, of, 10)
+    want = Mo.recommend(Model(), users.crossJoin(alike.join(of, "id")), 10)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and rows == [5 * alike.select("id").distinct().count(), 1000]
