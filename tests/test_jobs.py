@@ -230,3 +230,16 @@ def test_items_with_the_factors_of_one_are_scored_once(spark):
     got = Mo.recommend_alike(Model(), users, alike, of, 10)
     want = Mo.recommend(Model(), users.crossJoin(alike.join(of, "id")), 10)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and rows == [5 * alike.select("id").distinct().count(), 1000]
+
+
+def test_candidates_alike_and_blocks_give_the_lists_of_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 7)
+    random.seed(11)
+    vector = lambda: [(f, float(random.randint(1, 3))) for f in "abc" if random.random() < 0.6] or [("d", 1.0)]
+    users, items = {u: vector() for u in range(6)}, {i: vector() for i in range(150)}
+    frame = lambda x, head: spark.createDataFrame([(*head, i, f, v) for i, fs in x.items() for f, v in fs], ("alpha double, " if head else "") + "id long, feature string, value double")
+    apart = lambda p, q: round(sum((dict(p).get(f, 0.0) - dict(q).get(f, 0.0)) ** 2 for f in "abcd") ** 0.5, 6)
+    got = R.by_profile(frame(users, (1.0,)), frame(items, ()), 10)
+    assert R.by_profile.__doc__ and got.columns == ["alpha", "user", "item", "distance", "rank"] and "CartesianProduct" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(u, i, x, n) for u, p in users.items() for n, (x, i) in enumerate(sorted((apart(p, q), i) for i, q in items.items())[:10], 1)}
+    assert {(r.user, r.item, r.distance, r["rank"]) for r in got.collect()} == want
