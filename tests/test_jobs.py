@@ -232,8 +232,10 @@ def test_items_with_the_factors_of_one_are_scored_once(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and rows == [5 * alike.select("id").distinct().count(), 1000]
 
 
-def test_candidates_alike_and_blocks_give_the_lists_of_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [1024, 0])
+def test_candidates_alike_and_blocks_give_the_lists_of_all_pairs(spark, monkeypatch, dense):
     monkeypatch.setattr(R, "BLOCK", 7)
+    monkeypatch.setattr(R, "DENSE", dense)
     random.seed(11)
     vector = lambda: [(f, float(random.randint(1, 3))) for f in "abc" if random.random() < 0.6] or [("d", 1.0)]
     users, items = {u: vector() for u in range(6)}, {i: vector() for i in range(150)}
